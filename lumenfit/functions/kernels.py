@@ -6,6 +6,7 @@ A network is a flat weight vector plus a spec (a dict of plain values), so it tr
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 LOG_EPS = 1e-7  # fixed value, as in functions.networks
 # Scaled exponential linear unit.
@@ -14,6 +15,19 @@ LEAKY_SLOPE = 0.2
 BN_EPS, BN_MOMENTUM = 1e-3, 0.9
 
 
+CELLS = "pos long, v double"  # schema of a task's partial sums
+
+
+def matrix(column: pa.Array):
+    """An Arrow column of equally long lists as a two-dimensional array, without copying row by row."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def cells(values) -> pa.RecordBatch:
+    """Partial sums as rows (position, value), for Spark to add up over tasks."""
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["pos", "v"])
+
+
 def _sigmoid(x):
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 

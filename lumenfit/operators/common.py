@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfit.session import materialise
+
 
 def as_list(by) -> list[str]:
     if by is None:
@@ -22,12 +24,41 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys and keeps one copy of them.
+BROADCAST_ROWS = 500_000  # a group-statistics row is about a hundred bytes
+
+
+def join_stats(left: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Put per-group statistics next to the rows of their group.
 
-    No broadcast hint: the sides' sizes are known to AQE at run time and not to the caller.
+    The statistics are stored first, so their row count is known: up to :data:`BROADCAST_ROWS` they are
+    broadcast and the rows, hot groups included, stay where they are. More groups than that go through an
+    ordinary join, where AQE splits skewed partitions.
     """
+    stats = materialise(stats)
+    small = stats.count() <= BROADCAST_ROWS
+    return join_on(left, F.broadcast(stats) if small else stats, keys, how)
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that also matches null keys and keeps one copy of them."""
     names = {k: f"_r_{k}" for k in keys}
     right = right.withColumnsRenamed(names)
     cond = all_of([F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()])
     return left.join(right, cond, how).drop(*names.values())
+
+
+FEW_TASKS = 64
+
+
+def sum_cells(parts: DataFrame, tasks: int) -> list[float]:
+    """Add up the ``(pos, v)`` rows that tasks emit for one vector of sums.
+
+    A handful of tasks' vectors are added here; more are summed by Spark first, so that the driver receives one
+    number per position either way.
+    """
+    if tasks > FEW_TASKS:
+        parts = parts.groupBy("pos").agg(F.sum("v").alias("v"))
+    total: dict[int, float] = {}
+    for pos, v in parts.collect():
+        total[pos] = total.get(pos, 0.0) + v
+    return [total[i] for i in range(len(total))]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, VectorAssembler
@@ -13,23 +12,23 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfit.functions.kernels import CELLS, cells, matrix
+from lumenfit.operators.common import sum_cells
 from lumenfit.operators.scale import (
-    AffineModel, ColumnDropper, PopulationScaler, RangeScaler, _InOut, affine, vector_stats,
+    AffineModel, ColumnDropper, PopulationScaler, RangeScaler, _InOut, affine, moments, vector_stats,
 )
+from lumenfit.session import materialise_for_passes
 
 START_ROWS = 500_000  # sample used to choose the starting matrix of large fits
 INLINE_TERMS = 600  # beyond this many products a linear map is a loop instead of generated code
 
 
 def covariance(df: DataFrame, cols: list[str]) -> DataFrame:
-    """D-C1: sample covariances as a long table ``(a, b, cov)`` with ``a <= b``, one aggregate pass."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[F.covar_samp(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    long = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("cov"))
-        for i, (a, b) in enumerate(pairs)
-    ]))
-    return wide.select(long.alias("r")).select("r.a", "r.b", "r.cov")
+    """D-C1: sample covariances as a long table ``(a, b, cov)``, every pair of columns once."""
+    packed = VectorAssembler(inputCols=cols, outputCol="_x").transform(df).select("_x")
+    _, _, cov = moments(packed, "_x")
+    rows = [(a, b, float(cov[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, cov double")
 
 
 def linear_map(arr: Column, matrix: np.ndarray) -> Column:
@@ -160,7 +159,8 @@ class SymmetricICA(Estimator, _InOut):
         white = CenteredPCA(
             inputCol=src, outputCol=f"_{out}_white", k=self.getOrDefault(self.k), whiten=True
         ).fit(df)
-        z = white.transform(df).select(vector_to_array(F.col(f"_{out}_white")).alias("z")).persist()
+        z = white.transform(df).select(vector_to_array(F.col(f"_{out}_white")).alias("z"))
+        z = materialise_for_passes(z)
         try:
             n = z.count()
             factor = next(s for s in white.stages if isinstance(s, ElementwiseProduct)).getScalingVec()
@@ -169,7 +169,7 @@ class SymmetricICA(Estimator, _InOut):
                 np.random.default_rng(self.getOrDefault(self.seed)).normal(size=(len(keep), len(keep)))
             )
             if n > 4 * START_ROWS:
-                few = z.sample(fraction=START_ROWS / n, seed=self.getOrDefault(self.seed)).persist()
+                few = materialise_for_passes(z.sample(fraction=START_ROWS / n, seed=self.getOrDefault(self.seed)))
                 w, _ = self._iterate(few, w, keep, few.count())
                 few.unpersist()
             w, steps = self._iterate(z, w, keep, n)
@@ -184,31 +184,28 @@ class SymmetricICA(Estimator, _InOut):
         return PipelineModel([white, rotate, ColumnDropper(names=[f"_{out}_white"])])
 
     def _iterate(self, z: DataFrame, w: np.ndarray, keep: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-        steps, change = 0, np.inf
+        steps, change, tasks = 0, np.inf, z.rdd.getNumPartitions()
         while steps < self.getOrDefault(self.maxIter) and change >= self.getOrDefault(self.tol):
-            new = _decorrelate(_contrast_step(z, w, keep, n))
+            new = _decorrelate(_contrast_step(z, w, keep, n, tasks))
             change = float(np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1.0)))
             w, steps = new, steps + 1
         return w, steps
 
 
-def _contrast_step(z: DataFrame, w: np.ndarray, keep: np.ndarray, n: int) -> np.ndarray:
+def _contrast_step(z: DataFrame, w: np.ndarray, keep: np.ndarray, n: int, tasks: int) -> np.ndarray:
     """One unnormalised fixed-point update: ``E[g(Wz) z'] - diag(E[g'(Wz)]) W``."""
     k = len(keep)
 
     def partial(batches):
         total = np.zeros(k * k + k)
-        for pdf in batches:
-            x = np.stack(pdf["z"].to_numpy())[:, keep]
+        for batch in batches:
+            x = matrix(batch.column("z"))[:, keep]
             g = np.tanh(x @ w.T)
             total[: k * k] += (g.T @ x).ravel()
             total[k * k:] += (1.0 - g * g).sum(axis=0)
-        yield pd.DataFrame({"pos": np.arange(k * k + k), "v": total})
+        yield cells(total)
 
-    rows = z.mapInPandas(partial, "pos long, v double").groupBy("pos").agg(F.sum("v")).collect()
-    sums = np.zeros(k * k + k)
-    for pos, v in rows:
-        sums[pos] = v / n
+    sums = np.array(sum_cells(z.mapInArrow(partial, CELLS), tasks)) / n
     return sums[: k * k].reshape(k, k) - sums[k * k:, None] * w
 
 

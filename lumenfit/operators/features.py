@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenfit import schema
 from lumenfit.functions.hashing import normal
-from lumenfit.operators.common import all_of, as_list, join_on, sum_of
+from lumenfit.operators.common import all_of, as_list, join_stats, sum_of
 from lumenfit.operators.index import lag_diff, time_span, with_dense_index
 from lumenfit.operators.median import SMALL, exact_median, median_value
 
@@ -44,7 +44,7 @@ def median_normalize(
         m = F.lit(median_value(df, by, small))
         return df.withColumns({c: F.col(c) / m for c in cols})
     medians = exact_median(df, by, groups, "_median", small)
-    joined = join_on(df, medians, groups, "left")
+    joined = join_stats(df, medians, groups)
     return joined.withColumns({c: F.col(c) / F.col("_median") for c in cols}).drop("_median")
 
 

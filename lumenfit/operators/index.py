@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from lumenfit.operators.common import as_list, join_on
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
 ROWS_PER_BUCKET = 1_000_000
-SAMPLE_PER_BUCKET = 200
+SAMPLE_PER_BUCKET = 64
 
 
 def quantile_edges(df: DataFrame, col: Column, n: int, rows_per_bucket: int) -> list[float]:
@@ -86,7 +86,7 @@ def with_order_buckets(
 
 
 def _edges_frame(df: DataFrame, rows: list[tuple], name: str, dtype: str) -> DataFrame:
-    """Per-bucket constants; at most two bucket numbers squared rows exist, so broadcasting is safe."""
+    """Per-bucket constants: a few numbers for each of a bounded number of buckets, so broadcasting is safe."""
     spark = df.sparkSession
     return F.broadcast(spark.createDataFrame(rows, f"_b1 double, _b2 double, {name} {dtype}"))
 

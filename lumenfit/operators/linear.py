@@ -1,4 +1,4 @@
-"""Pixel linear model (R-16): ordinary least squares from one covariance aggregate.
+"""Pixel linear model (R-16): ordinary least squares from the covariance matrix of its terms.
 
 Normalised pixels sum to one, so they are collinear with the intercept. The coefficients are the minimum-norm
 solution; fitted values are unique.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfit import schema
+from lumenfit.operators.scale import moments
 
 NULL_DIRECTION = 1e-9  # relative size below which a covariance eigenvalue counts as zero
 
@@ -53,15 +55,8 @@ class PixelLinearModel(Estimator, _Terms):
         terms = self._term_columns(t_mean)
         names = [f"x{i}" for i in range(len(terms))] + ["y"]
         data = df.select(*[t.alias(n) for t, n in zip([*terms, F.col(self.getLabelCol())], names)])
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        row = data.agg(
-            *[F.avg(n) for n in names],
-            *[F.covar_pop(names[i], names[j]) for i, j in pairs],
-        ).first()
-        means = np.array(row[: len(names)])
-        cov = np.zeros((len(names), len(names)))
-        for (i, j), v in zip(pairs, row[len(names):]):
-            cov[i, j] = cov[j, i] = v
+        packed = VectorAssembler(inputCols=names, outputCol="_v").transform(data).select("_v")
+        _, means, cov = moments(packed, "_v")
         width = np.sqrt(np.diag(cov)[:-1])
         width[width == 0] = 1.0
         corr = cov[:-1, :-1] / np.outer(width, width)

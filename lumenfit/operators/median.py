@@ -12,8 +12,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfit.operators.common import as_list, join_on
+from lumenfit.operators.common import BROADCAST_ROWS, as_list, join_on
 from lumenfit.operators.index import bucketise, quantile_edges, sampled_quantiles
+from lumenfit.session import materialise
 
 SMALL = 500_000
 
@@ -94,9 +95,9 @@ def exact_median(
 ) -> DataFrame:
     """E-21: the exact median per group (one row when ``by`` is None).
 
-    Up to ``small`` rows in all, the built-in aggregate is used. Beyond that, distinct values are counted first,
-    which spreads a hot group over all tasks, then cut at global quantiles: a group's counts per bucket say
-    which bucket holds its middle ranks, and only that bucket is ordered.
+    Up to ``small`` rows in all, the built-in aggregate is used. Beyond that the values are cut at global
+    quantiles: a group's row counts per bucket, a map-side-combined aggregate, say which bucket holds its middle
+    ranks, and only rows of that bucket are ordered, as distinct values with counts so that ties cost nothing.
     """
     by = as_list(by)
     vals = _values(df, col, by)
@@ -107,12 +108,11 @@ def exact_median(
         value = median_value(df, col, small)
         return df.sparkSession.createDataFrame([(value,)], f"{name} double")
 
-    tied = vals.groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
-    tied = bucketise(tied, "_v", quantile_edges(vals, F.col("_v"), n, small), "_b")
+    cut = bucketise(vals, "_v", quantile_edges(vals, F.col("_v"), n, small), "_b")
     group = Window.partitionBy(*by)
     upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = tied.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"))
-    wanted = (
+    sizes = cut.groupBy(*by, "_b").agg(F.count("_v").alias("_size"))
+    wanted = materialise(
         sizes.withColumns({"_end": F.sum("_size").over(upto), "_n": F.sum("_size").over(group)})
         .withColumns({
             "_start": F.col("_end") - F.col("_size"),
@@ -122,10 +122,16 @@ def exact_median(
         .where("_start <= _high and _end > _low")
         .select(*by, "_b", "_start", "_low", "_high")
     )
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    keys, tally = [*by, "_b"], F.count("_v").alias("_c")
+    if wanted.count() <= BROADCAST_ROWS:
+        # Two rows per group at most: the other buckets' rows never leave their task.
+        found = join_on(cut, F.broadcast(wanted), keys).groupBy(*keys, "_start", "_low", "_high", "_v").agg(tally)
+    else:
+        # Counting distinct values first spreads a hot group over all tasks before the join.
+        found = join_on(cut.groupBy(*keys, "_v").agg(tally), wanted, keys)
+    inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        join_on(tied, wanted, [*by, "_b"])
-        .withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
+        found.withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .where("(_from <= _low and _to > _low) or (_from <= _high and _to > _high)")
         .groupBy(*by)

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfit.operators.common import as_list, join_on
+from lumenfit.operators.common import as_list, join_on, join_stats
 from lumenfit.operators.median import SMALL, exact_median, median_value
 
 
@@ -81,10 +81,10 @@ def reduced_chisq(
 
 
 def _with_mean(df: DataFrame, col: str, by: list[str], name: str) -> DataFrame:
-    """The mean next to each row: a literal without groups, else an equi-join."""
+    """The mean next to each row: a literal without groups, else a join on them."""
     if not by:
         return df.withColumn(name, F.lit(df.agg(F.avg(col)).first()[0]))
-    return join_on(df, df.groupBy(*by).agg(F.avg(col).alias(name)), by)
+    return join_stats(df, df.groupBy(*by).agg(F.avg(col).alias(name)), by)
 
 
 def rho2(df, y="flux", pred="prediction", err="fluxerr", by=None) -> DataFrame:
@@ -143,7 +143,7 @@ def fit_report(
 def _with_median(df: DataFrame, col: str, by: list[str], name: str, small: int) -> DataFrame:
     if not by:
         return df.withColumn(name, F.lit(median_value(df, col, small)))
-    return join_on(df, exact_median(df, col, by, name, small), by)
+    return join_stats(df, exact_median(df, col, by, name, small), by)
 
 
 def demedian(df, col="flux", by=None, name: str | None = None, small: int = SMALL) -> DataFrame:
@@ -157,7 +157,7 @@ def robust_z(df, col="flux", by=None, name: str | None = None, small: int = SMAL
     keys = as_list(by)
     out = _with_median(df, col, keys, "_med", small)
     if keys:
-        out = join_on(out, df.groupBy(*keys).agg(F.stddev_pop(col).alias("_std")), keys)
+        out = join_stats(out, df.groupBy(*keys).agg(F.stddev_pop(col).alias("_std")), keys)
     else:
         out = out.withColumn("_std", F.lit(df.agg(F.stddev_pop(col)).first()[0]))
     z = (F.col(col) - F.col("_med")) / F.col("_std")

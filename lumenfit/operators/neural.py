@@ -1,8 +1,8 @@
 """Networks trained data-parallel on Spark (R-14, R-17 .. R-20).
 
-Rows are hashed into a fixed number of shards and cached. An epoch is one job: every task starts from the same
+Rows are hashed into a fixed number of shards, checkpointed and cached. An epoch is one job: every task starts from the same
 weights, runs seeded minibatch steps over its Arrow batches and emits its weights times its row count, cell by
-cell; Spark adds the cells up, so the driver receives one row per weight however many shards there are.
+cell; the cells are added up by Spark, so the driver's part does not grow with the shards.
 Averaged local steps are not the sequential minibatch descent of a single machine; ``mode="sync"`` takes one
 full-gradient step per epoch instead, whose result does not depend on the sharding.
 """
@@ -13,7 +13,7 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from lumenfit import schema
 from lumenfit.functions import kernels
 from lumenfit.functions.hashing import hash60
+from lumenfit.operators.common import sum_cells
+from lumenfit.session import materialise_for_passes
 
 # Sums kept per split while an epoch runs.
 _SUMS = ("n", "sse", "sae", "chisq", "close", "y", "yy")
@@ -48,9 +50,11 @@ def _epoch_task(spec, flat, m, v, t, lr, batch, seed, epoch, mode, shift, learn)
         w, m1, v1, t1 = flat.copy(), m.copy(), v.copy(), t
         grads, trained = np.zeros_like(flat), 0
         sums = np.zeros((2, len(_SUMS)))
-        for number, pdf in enumerate(batches):
-            x = np.stack(pdf["x"].to_numpy())
-            y, err, test = pdf["y"].to_numpy(), pdf["e"].to_numpy(), pdf["t"].to_numpy()
+        for number, rows_in in enumerate(batches):
+            if not rows_in.num_rows:
+                continue
+            x = kernels.matrix(rows_in.column("x"))
+            y, err, test = (rows_in.column(c).to_numpy(zero_copy_only=False) for c in ("y", "e", "t"))
             pred, cache = kernels.forward(spec, flat, x)
             diff, moved = pred - y, y - shift
             cells = np.stack([
@@ -82,7 +86,7 @@ def _epoch_task(spec, flat, m, v, t, lr, batch, seed, epoch, mode, shift, learn)
         else:
             body = [trained * w, trained * m1, trained * v1, [trained * t1]]
         values = np.concatenate([*body, [trained], sums.ravel()])
-        yield pd.DataFrame({"pos": np.arange(len(values)), "v": values})
+        yield kernels.cells(values)
 
     return run
 
@@ -153,7 +157,7 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
         ).repartition(shards, "h").sortWithinPartitions("h")
 
     def _train(self, df: DataFrame, start: "NetworkModel | None" = None) -> "NetworkModel":
-        data = self._prepared(df).persist()
+        data = materialise_for_passes(self._prepared(df))
         try:
             head = data.agg(F.max(F.size("x")), F.avg("y"), F.count(F.lit(1))).first()
             spec = start.spec() if start else self._spec(head[0])
@@ -170,15 +174,13 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
         mode, epochs = self.getOrDefault(self.mode), self.getOrDefault(self.epochs)
         lr, n = self.getOrDefault(self.lr), len(flat)
         m, v, t = np.zeros(n), np.zeros(n), 0.0
-        history, best = [], (-math.inf, None)
+        history, best, tasks = [], (-math.inf, None), data.rdd.getNumPartitions()
         for epoch in range(epochs + 1):
             task = _epoch_task(
                 spec, flat, m, v, t, lr, self.getOrDefault(self.batch), self.getSeed(), epoch, mode,
                 shift, epoch < epochs,
             )
-            cells = data.mapInPandas(task, "pos long, v double").groupBy("pos").agg(F.sum("v"))
-            got = dict(cells.collect())
-            values = np.array([got[i] for i in range(len(got))])
+            values = np.array(sum_cells(data.mapInArrow(task, kernels.CELLS), tasks))
             body, trained = values[: -2 * len(_SUMS) - 1], values[-2 * len(_SUMS) - 1]
             scores = _metrics(values[-2 * len(_SUMS):].reshape(2, -1))
             if epoch:
@@ -203,6 +205,18 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
         return model
 
 
+def _scorer(spec: dict, flat):
+    """An Arrow-batched function from a feature array to the network's prediction."""
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        if not len(x):
+            return pa.array([], pa.float64())
+        return pa.array(kernels.forward(spec, flat, kernels.matrix(x))[0])
+
+    return score
+
+
 class NetworkModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """A trained network; scoring is an Arrow-batched function over the feature column (R-20)."""
 
@@ -231,15 +245,8 @@ class NetworkModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadabl
         return spark.createDataFrame(rows, schema.HISTORY_SCHEMA)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        spec, flat = self.spec(), self.flat()
-
-        def score(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=float)
-            return pd.Series(kernels.forward(spec, flat, np.stack(x.to_numpy()))[0])
-
-        udf = F.pandas_udf(score, "double")
-        return df.withColumn(self.getPredictionCol(), udf(_features(df, self.getFeaturesCol())))
+        score = _scorer(self.spec(), self.flat())
+        return df.withColumn(self.getPredictionCol(), score(_features(df, self.getFeaturesCol())))
 
 
 class DenseRegressor(Estimator, _NetParams):
@@ -333,12 +340,4 @@ def register_sql(spark, model: NetworkModel | None = None, name: str = "network_
     for fn, body in bodies.items():
         spark.sql(f"create or replace temporary function {fn}(x double) returns double return {body}")
     if model is not None:
-        spec, flat = model.spec(), model.flat()
-
-        @F.pandas_udf("double")
-        def score(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=float)
-            return pd.Series(kernels.forward(spec, flat, np.stack(x.to_numpy()))[0])
-
-        spark.udf.register(name, score)
+        spark.udf.register(name, _scorer(model.spec(), model.flat()))

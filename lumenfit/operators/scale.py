@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfit.operators.common import as_list, join_on
+from lumenfit.operators.common import as_list, join_stats
 
 
 def literal_array(values) -> Column:
@@ -78,6 +79,19 @@ def vector_stats(df: DataFrame, col: str):
     return n, list(row["mean"]), var, list(row["min"]), list(row["max"])
 
 
+def moments(df: DataFrame, col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean vector and sample covariance matrix of a vector column.
+
+    The built-in correlation sums centred outer products as packed arrays, which no SQL aggregate over all
+    column pairs comes near; only the matrix reaches the driver.
+    """
+    n, mean, var, lo, hi = vector_stats(df, col)
+    corr = Correlation.corr(df.select(col), col).first()[0].toArray()
+    width = np.sqrt(np.array(var) * n / max(1, n - 1))
+    width[np.array(lo) == np.array(hi)] = 0.0
+    return n, np.array(mean), np.where(np.outer(width, width) > 0, corr * np.outer(width, width), 0.0)
+
+
 class PopulationScaler(Estimator, _InOut):
     """D-S1: centre and divide by the population standard deviation; constants become zero."""
 
@@ -168,7 +182,7 @@ def scale_by_group(df: DataFrame, cols, by) -> DataFrame:
     stats = df.groupBy(*by).agg(
         *[F.min(c).alias(f"_lo_{c}") for c in cols], *[F.max(c).alias(f"_hi_{c}") for c in cols]
     )
-    out = join_on(df, stats, by)
+    out = join_stats(df, stats, by)
 
     def scaled(c: str) -> Column:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")

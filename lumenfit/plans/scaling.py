@@ -141,11 +141,11 @@ _PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
 
 
 @query("covariance", on_cal(
-    "select a, b, " + sql_rnd("cov", 9) + " as cov from (" + " union all ".join(
+    "select a, b, " + sql_rnd("cov", 7) + " as cov from (" + " union all ".join(
         f"select '{a}' as a, '{b}' as b, covar_samp({a}, {b}) as cov from cal" for a, b in _PAIRS) + ")"))
 def covariance(spark, sf):
     out = decompose.covariance(cal(spark, sf), FEATURES)
-    return out.select("a", "b", rnd("cov", 9).alias("cov"))
+    return out.select("a", "b", rnd("cov", 7).alias("cov"))
 
 
 _LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

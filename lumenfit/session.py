@@ -56,3 +56,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which outlives the executors that wrote it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise_for_passes(df: DataFrame) -> DataFrame:
+    """A checkpointed and cached table for algorithms that read it many times.
+
+    Passes read the cache; an executor lost with its cached blocks is replaced from the checkpoint, with the
+    same rows in the same partitions, and no pass plans the upstream query again.
+    """
+    return materialise(df).persist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfit import schema as sch
+from lumenfit.operators.common import join_stats
 
 # The feature variants a transform run stores.
 VARIANTS = ["raw", "full_pipe", "standard", "pca_of_standard", "minmax", "minmax_of_pca"]
@@ -31,8 +32,8 @@ def read_calibration(
 def with_file_order(df: DataFrame, name: str = "idx") -> DataFrame:
     """Add the row's position in its files: file, then block, then place within the block.
 
-    Rows are numbered inside their block (one scan split each), and a per-block count gives each block's start,
-    so no task sees more than a block.
+    A scan numbers a block's rows consecutively, so a block's first number and size place all its rows. That is
+    one small row per block; its count is checked before it is broadcast, and then no data row is shuffled.
     """
     placed = df.select(
         "*",
@@ -40,20 +41,19 @@ def with_file_order(df: DataFrame, name: str = "idx") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    sizes = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per file block, so a single ordered pass over them is small.
+    blocks = placed.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_seq").alias("_first")
+    )
     before = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    starts = sizes.select(
-        "_file", "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+    starts = blocks.select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("_file", "_block").orderBy("_seq")
     return (
-        placed.withColumn("_row", F.row_number().over(inside).cast("bigint") - 1)
-        .join(starts, ["_file", "_block"])
-        .withColumn(name, F.col("_start") + F.col("_row"))
-        .drop("_file", "_block", "_seq", "_start", "_row")
+        join_stats(placed, starts, ["_file", "_block"])
+        .withColumn(name, F.col("_start") + F.col("_seq") - F.col("_first"))
+        .drop("_file", "_block", "_seq", "_start", "_first")
     )
 
 
