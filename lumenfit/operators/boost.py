@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfit.functions.hashing import uniform
-from lumenfit.operators.ensemble import EnsembleModel, LeafValues, predict_as
-from lumenfit.operators.forest import _TreeParams
+from lumenfit.operators.ensemble import LeafTableModel, predict_as, tree_sum
+from lumenfit.operators.forest import _TreeParams, leaf_table
 from lumenfit.operators.median import exact_quantile_value
 from lumenfit.session import ensure_checkpoint_dir, materialise
 
@@ -38,11 +38,12 @@ def fit_boosted(df: DataFrame, **kw):
     return boosted(**kw).fit(df)
 
 
-def resume_boosted(model, df: DataFrame, rounds: int, labelCol="flux", **kw) -> EnsembleModel:
+def resume_boosted(model, df: DataFrame, rounds: int, labelCol="flux", **kw) -> GBTRegressionModel:
     """R-14: continue squared-loss boosting, which is boosting the residuals of the fitted model."""
     rest = predict_as(model, df, "_old").withColumn("_rest", F.col(labelCol) - F.col("_old"))
     more = fit_boosted(rest.drop("_old"), rounds=rounds, labelCol="_rest", **kw)
-    return EnsembleModel([model, more], "sum")
+    trees, weights = [*model.trees, *more.trees], [*model.treeWeights, *more.treeWeights]
+    return tree_sum(trees, weights, model.getFeaturesCol())
 
 
 class QuantileBoost(Estimator, _TreeParams):
@@ -71,20 +72,21 @@ class QuantileBoost(Estimator, _TreeParams):
             self._input_kwargs, alpha=0.9, maxDepth=3, stepSize=0.1, subsample=1.0, checkpointInterval=5
         )
 
-    def _fit(self, df: DataFrame) -> EnsembleModel:
+    def _fit(self, df: DataFrame) -> LeafTableModel:
         start = exact_quantile_value(df, self.getLabelCol(), self.getOrDefault(self.alpha))
-        return self.resume(EnsembleModel([], "sum", [], start), df, self.getOrDefault(self.numTrees))
+        return self.resume(LeafTableModel(base=start), df, self.getOrDefault(self.numTrees))
 
-    def resume(self, model: EnsembleModel, df: DataFrame, rounds: int) -> EnsembleModel:
+    def resume(self, model: LeafTableModel, df: DataFrame, rounds: int) -> LeafTableModel:
         """R-14: ``rounds`` further rounds on top of a fitted model."""
         x, y, key = self.getFeaturesCol(), self.getLabelCol(), self.getOrDefault(self.keyCol)
         alpha, step = self.getOrDefault(self.alpha), self.getOrDefault(self.stepSize)
-        share = self.getOrDefault(self.subsample)
-        members, weights = list(model.members), list(model.getOrDefault(model.weights))
+        share, every = self.getOrDefault(self.subsample), self.getOrDefault(self.checkpointInterval)
+        trees, tables = list(model.trees.trees) if model.trees else [], model.tables()
+        weights = list(model.getOrDefault(model.weights))
         keyed = df.select(x, y, *([key] if share < 1.0 else []))
         data = model.copy({model.predictionCol: "_f"}).transform(keyed).persist()
-        held = [data]
-        for t in range(len(members), len(members) + rounds):
+        held, done = [data], len(trees)
+        for t in range(done, done + rounds):
             rest = F.col(y) - F.col("_f")
             work = data.withColumns({"_r": rest, "_g": F.when(rest > 0, alpha).otherwise(alpha - 1.0)})
             bag = work
@@ -93,22 +95,20 @@ class QuantileBoost(Estimator, _TreeParams):
             tree = self._tree(labelCol="_g", leafCol="_leaf", seed=self.getSeed() + t).fit(bag)
             tree = tree.setPredictionCol("")
             quantile = F.percentile_approx("_r", alpha, 10_000)
-            leaves = dict(tree.transform(bag).groupBy("_leaf").agg(quantile).collect())
-            values = [float(leaves.get(float(i), 0.0)) for i in range(int(max(leaves)) + 1)]
-            member = PipelineModel([tree, LeafValues(leafCol="_leaf", values=values)])
-            members.append(member)
+            table = leaf_table(dict(tree.transform(bag).groupBy("_leaf").agg(quantile).collect()))
+            trees.append(tree)
+            tables.append(table)
             weights.append(step)
-            data = predict_as(member, data, "_one")
-            data = data.withColumn("_f", F.col("_f") + F.lit(step) * F.col("_one")).drop("_one")
-            if (len(held)) % self.getOrDefault(self.checkpointInterval) == 0:
+            value = F.array(*[F.lit(v) for v in table])[F.col("_leaf").cast("int")]
+            data = tree.transform(data).withColumn("_f", F.col("_f") + F.lit(step) * value).drop("_leaf")
+            if (t + 1) % every == 0:
                 data = materialise(data)
                 for old in held:
                     old.unpersist()
                 held = []
-            else:
-                data = data.persist()
+            data = data.persist()
             held.append(data)
         for old in held:
             old.unpersist()
-        out = EnsembleModel(members, "sum", weights, model.getOrDefault(model.base))
+        out = LeafTableModel(trees, tables, weights, "sum", model.getOrDefault(model.base), x)
         return out._set(predictionCol=self.getPredictionCol())

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenfit.operators.common import as_list
 from lumenfit.operators.decompose import CenteredPCA, SymmetricICA, _stages
-from lumenfit.operators.ensemble import EnsembleModel, predict_as
+from lumenfit.operators.ensemble import EnsembleModel, LeafTableModel, tree_sum
 from lumenfit.operators.metrics import r2_expr
 from lumenfit.operators.scale import ColumnDropper, PopulationScaler, _InOut
 from lumenfit.operators.splits import bootstrap_weights
@@ -179,6 +179,9 @@ class _TreeParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
             return list(pool.map(fn, items))
 
 
+OOB_BLOCK = 25  # trees applied in one chain when scoring out of bag
+
+
 class OOBForest(Estimator, _TreeParams):
     """R-7: a bootstrap forest with its out-of-bag R2.
 
@@ -204,21 +207,33 @@ class OOBForest(Estimator, _TreeParams):
                 return self._tree(weightCol="_wt", seed=self.getSeed() + t).fit(bag)
 
             trees = self._in_parallel(one, range(n))
-            scored = bags.withColumns({"_s": F.lit(0.0), "_c": F.lit(0)})
-            for t, tree in enumerate(trees):
-                scored = predict_as(tree, scored, "_p")
-                out = F.col("_w")[t] == 0
-                scored = scored.withColumns({
-                    "_s": F.col("_s") + F.when(out, F.col("_p")).otherwise(0.0),
-                    "_c": F.col("_c") + F.when(out, 1).otherwise(0),
-                }).drop("_p")
-            seen = scored.where("_c > 0").withColumn("_oob", F.col("_s") / F.col("_c"))
-            score = seen.agg(r2_expr(y, "_oob")).first()[0]
+            score = self._oob_score(bags, trees)
         finally:
             bags.unpersist()
-        model = EnsembleModel(trees, "mean", score=math.nan if score is None else score)
+        forest_model = tree_sum(trees, [1.0 / n] * n, x)
+        model = EnsembleModel([forest_model], "sum", score=math.nan if score is None else score)
         return model._set(predictionCol=self.getPredictionCol())
 
+    def _oob_score(self, bags: DataFrame, trees: list) -> float | None:
+        """R2 of each row's mean prediction over the trees that did not see it.
+
+        Trees are applied in blocks, which keeps plans short; the blocks' sums meet per row key.
+        """
+        y, key = self.getLabelCol(), self.getOrDefault(self.keyCol)
+        parts = None
+        for at in range(0, len(trees), OOB_BLOCK):
+            scored, total, count = bags, F.lit(0.0), F.lit(0)
+            for t in range(at, min(at + OOB_BLOCK, len(trees))):
+                out = F.col("_w")[t] == 0
+                scored = trees[t].copy({trees[t].predictionCol: f"_p{t}"}).transform(scored)
+                total = total + F.when(out, F.col(f"_p{t}")).otherwise(0.0)
+                count = count + F.when(out, 1).otherwise(0)
+            block = scored.select(key, y, total.alias("_s"), count.alias("_c"))
+            parts = block if parts is None else parts.union(block)
+        rows = parts.groupBy(key).agg(F.first(y).alias(y), F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+        seen = rows.where("_c > 0").withColumn("_oob", F.col("_s") / F.col("_c"))
+        return seen.agg(r2_expr(y, "_oob")).first()[0]
+
 
 class Quantiser(Transformer, _InOut):
     """Replace each element by the number of its cut points at or below it."""
@@ -246,7 +261,8 @@ class ExtraTrees(Estimator, _TreeParams):
     """R-9: trees on random cut points, no bootstrap.
 
     An approximation of extremely randomised trees: each tree draws ``nCuts`` uniform cut points per feature
-    and may only split at those, instead of drawing one threshold per node and feature.
+    and may only split at those, instead of drawing one threshold per node and feature. Every tree has its own
+    cut points and is its own plan node, so keep to a hundred or so.
     """
 
     nCuts = Param(Params._dummy(), "nCuts", "random cut points per feature", TypeConverters.toInt)
@@ -281,6 +297,11 @@ class ExtraTrees(Estimator, _TreeParams):
         return EnsembleModel(trees, "mean")._set(predictionCol=self.getPredictionCol())
 
 
+def leaf_table(found: dict[float, float]) -> list[float]:
+    """Leaf values by leaf number; leaves that no row reached predict zero."""
+    return [float(found.get(float(i), 0.0)) for i in range(int(max(found)) + 1)]
+
+
 class AdaBoostR2(Estimator, _TreeParams):
     """R-10: AdaBoost.R2 with linear loss and a weighted-median prediction.
 
@@ -300,29 +321,28 @@ class AdaBoostR2(Estimator, _TreeParams):
         super().__init__()
         self._defaults(self._input_kwargs, numTrees=50, maxDepth=3, checkpointInterval=5)
 
-    def _fit(self, df: DataFrame) -> EnsembleModel:
+    def _fit(self, df: DataFrame) -> LeafTableModel:
         x, y = self.getFeaturesCol(), self.getLabelCol()
         data = df.select(x, F.col(y).cast("double").alias(y)).withColumn("_w", F.lit(1.0)).persist()
-        held, trees, weights = [data], [], []
+        held, trees, tables, weights = [data], [], [], []
         n = data.count()
         for t in range(self.getOrDefault(self.numTrees)):
-            tree = self._tree(weightCol="_w", seed=self.getSeed() + t).fit(data)
-            scored = predict_as(tree, data, "_p").withColumn("_e", F.abs(F.col("_p") - F.col(y)))
-            worst, lost, mass = scored.agg(
-                F.max("_e"), F.sum(F.col("_w") * F.col("_e")), F.sum("_w")
-            ).first()
-            if not worst:
-                trees.append(tree)
-                weights.append(1.0)
+            tree = self._tree(weightCol="_w", leafCol="_leaf", seed=self.getSeed() + t).fit(data)
+            scored = tree.transform(data).withColumn("_e", F.abs(F.col("prediction") - F.col(y)))
+            # One row per leaf: its value, its largest error, its weighted error and its weight.
+            leaves = scored.groupBy("_leaf").agg(
+                F.max("prediction"), F.max("_e"), F.sum(F.col("_w") * F.col("_e")), F.sum("_w")
+            ).collect()
+            worst, mass = max(r[2] for r in leaves), sum(r[4] for r in leaves)
+            loss = sum(r[3] for r in leaves) / (worst * mass) if worst else 0.0
+            if loss >= 0.5 and trees:
                 break
-            loss = lost / (worst * mass)
-            if loss >= 0.5:
-                if not trees:
-                    trees, weights = [tree], [1.0]
-                break
-            beta = max(loss, 1e-12) / (1.0 - loss)
+            beta = max(loss, 1e-12) / (1.0 - min(loss, 0.5))
             trees.append(tree)
-            weights.append(-math.log(beta))
+            tables.append(leaf_table({r[0]: r[1] for r in leaves}))
+            weights.append(max(-math.log(beta), 1e-12))
+            if not worst or loss >= 0.5:
+                break
             shrink = F.pow(F.lit(beta), 1.0 - F.col("_e") / F.lit(worst))
             data = scored.withColumn("_w", F.col("_w") * shrink).select(x, y, "_w")
             # Keep the mean weight at one, so that tiny weights do not vanish in the tree statistics.
@@ -333,12 +353,11 @@ class AdaBoostR2(Estimator, _TreeParams):
                 for old in held:
                     old.unpersist()
                 held = []
-            else:
-                data = data.persist()
-                held.append(data)
+            data = data.persist()
+            held.append(data)
         for old in held:
             old.unpersist()
-        model = EnsembleModel(trees, "weighted_median", weights)
+        model = LeafTableModel(trees, tables, weights, "weighted_median", features=x)
         return model._set(predictionCol=self.getPredictionCol())
 
 
@@ -368,6 +387,7 @@ def _ending_in_model(model):
 
 
 def resume_forest(model, estimator: RandomForestRegressor, df: DataFrame, more: int) -> EnsembleModel:
-    """R-14: ``more`` further trees next to a fitted forest, weighted by tree count."""
+    """R-14: ``more`` further trees next to those of a fitted forest."""
     grown = estimator.copy({estimator.numTrees: more, estimator.seed: estimator.getSeed() + 1}).fit(df)
-    return EnsembleModel([model, grown], "mean", [model.getNumTrees, more])
+    trees = [*model.trees, *grown.trees]
+    return EnsembleModel([tree_sum(trees, [1.0 / len(trees)] * len(trees), model.getFeaturesCol())], "sum")

@@ -287,7 +287,7 @@ def extra_trees(spark, sf):
 def adaboost_r2(spark, sf):
     df = model_frame(spark, sf)
     model = forest.AdaBoostR2(numTrees=TREES).fit(_train(df))
-    return _report(spark, model, df, rounds=len(model.members))
+    return _report(spark, model, df, rounds=model.trees.getNumTrees)
 
 
 @query("gbt_squared")
@@ -353,7 +353,7 @@ def per_draw_ensemble(spark, sf):
 def save_load_ensemble(spark, sf):
     """A custom ensemble predicts the same after a round trip through storage."""
     df = model_frame(spark, sf)
-    model = forest.ExtraTrees(numTrees=3, maxDepth=5).fit(_train(df))
+    model = forest.AdaBoostR2(numTrees=3).fit(_train(df))
     path = scratch_path(spark, "ensemble")
     models.save(model, path)
     both = predict_as(models.load(path, spark), predict_as(model, df, "before"), "after")
