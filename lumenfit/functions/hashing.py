@@ -51,7 +51,10 @@ def _poisson_cdf(terms: int = 16) -> list[float]:
     return out
 
 
-def poisson1(*parts) -> Column:
-    """A Poisson(1) count by inverting the distribution function at a hash-derived uniform."""
-    u = uniform(*parts)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in _poisson_cdf()]), lambda c: c <= u))
+def poisson1(u: Column) -> Column:
+    """A Poisson(1) count by inverting the distribution function at a uniform."""
+    cdf = _poisson_cdf()
+    out = F.when(u < cdf[0], 0)
+    for k, c in enumerate(cdf[1:], 1):
+        out = out.when(u < c, k)
+    return out.otherwise(len(cdf))

@@ -39,6 +39,16 @@ def join_stats(left: DataFrame, stats: DataFrame, keys: list[str], how: str = "l
     return join_on(left, F.broadcast(stats) if small else stats, keys, how)
 
 
+def spread(df: DataFrame, key: str = "idx") -> DataFrame:
+    """Rows of an input with fewer scan partitions than cores, hashed over the cores; larger inputs stay as is.
+
+    Tree fits keep the partitioning they are given, so a small single-file table would be fitted by one core.
+    Call it on a plan without shuffles, whose partition count is known without running it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys and keeps one copy of them."""
     names = {k: f"_r_{k}" for k in keys}
@@ -50,13 +60,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 FEW_TASKS = 64
 
 
-def sum_cells(parts: DataFrame, tasks: int) -> list[float]:
+def sum_cells(parts: DataFrame, tasks: int | None = None) -> list[float]:
     """Add up the ``(pos, v)`` rows that tasks emit for one vector of sums.
 
-    A handful of tasks' vectors are added here; more are summed by Spark first, so that the driver receives one
+    The vectors of a known handful of tasks are added here; more are summed by Spark first, so that the driver receives one
     number per position either way.
     """
-    if tasks > FEW_TASKS:
+    if tasks is None or tasks > FEW_TASKS:
         parts = parts.groupBy("pos").agg(F.sum("v").alias("v"))
     total: dict[int, float] = {}
     for pos, v in parts.collect():

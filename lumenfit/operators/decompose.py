@@ -25,8 +25,7 @@ INLINE_TERMS = 600  # beyond this many products a linear map is a loop instead o
 
 def covariance(df: DataFrame, cols: list[str]) -> DataFrame:
     """D-C1: sample covariances as a long table ``(a, b, cov)``, every pair of columns once."""
-    packed = VectorAssembler(inputCols=cols, outputCol="_x").transform(df).select("_x")
-    _, _, cov = moments(packed, "_x")
+    _, _, cov = moments(df, cols)
     rows = [(a, b, float(cov[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
     return df.sparkSession.createDataFrame(rows, "a string, b string, cov double")
 
@@ -74,7 +73,8 @@ class CenteredPCA(Estimator, _InOut):
         n, mean, var, _, _ = vector_stats(df, src)
         centre = affine(src, f"_{out}_centred", mean, [1.0] * len(mean))
         k = self.getOrDefault(self.k) or len(mean)
-        pca = PCA(k=k, inputCol=f"_{out}_centred", outputCol=f"_{out}_raw").fit(centre.transform(df))
+        # Components do not depend on the origin, so the fit itself reads the uncentred column.
+        pca = PCA(k=k, inputCol=src, outputCol=f"_{out}_raw").fit(df).setInputCol(f"_{out}_centred")
         loadings = pca.pc.toArray()
         sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
         factor = sign

@@ -119,11 +119,12 @@ def sigma_clip(
 
     done, last = 0, None
     while iters is None or done < iters:
-        kept = df.where(keep()) if done else df
-        row = kept.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(c).alias(f"m_{c}") for c in cols],
-            *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
+        # Rows outside the bounds count as nulls instead of being filtered, which keeps planning cheap.
+        inside = {c: F.when(keep(), F.col(c)) if done else F.col(c) for c in cols}
+        row = df.agg(
+            F.count(inside[cols[0]]).alias("n"),
+            *[F.avg(x).alias(f"m_{c}") for c, x in inside.items()],
+            *[F.stddev_pop(x).alias(f"s_{c}") for c, x in inside.items()],
         ).first()
         if row["n"] == last or row["n"] == 0:
             break
@@ -131,6 +132,7 @@ def sigma_clip(
         for c in cols:
             centre, width = row[f"m_{c}"], row[f"s_{c}"]
             if robust:
+                kept = df.select(inside[c].alias(c))
                 centre = median_value(kept, c)
                 away = kept.select(F.abs(F.col(c) - F.lit(centre)).alias("_d"))
                 width = 1.4826 * median_value(away, "_d")

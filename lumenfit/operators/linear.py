@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -53,10 +52,7 @@ class PixelLinearModel(Estimator, _Terms):
     def _fit(self, df: DataFrame) -> "FittedPixelLinearModel":
         t_mean = df.agg(F.avg(self.getOrDefault(self.timeCol))).first()[0]
         terms = self._term_columns(t_mean)
-        names = [f"x{i}" for i in range(len(terms))] + ["y"]
-        data = df.select(*[t.alias(n) for t, n in zip([*terms, F.col(self.getLabelCol())], names)])
-        packed = VectorAssembler(inputCols=names, outputCol="_v").transform(data).select("_v")
-        _, means, cov = moments(packed, "_v")
+        _, means, cov = moments(df, [*terms, F.col(self.getLabelCol())])
         width = np.sqrt(np.diag(cov)[:-1])
         width[width == 0] = 1.0
         corr = cov[:-1, :-1] / np.outer(width, width)

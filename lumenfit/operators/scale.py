@@ -15,12 +15,13 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfit.operators.common import as_list, join_stats
+from lumenfit.functions.kernels import CELLS, cells
+from lumenfit.operators.common import as_list, join_stats, sum_cells
 
 
 def literal_array(values) -> Column:
@@ -79,17 +80,28 @@ def vector_stats(df: DataFrame, col: str):
     return n, list(row["mean"]), var, list(row["min"]), list(row["max"])
 
 
-def moments(df: DataFrame, col: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean vector and sample covariance matrix of a vector column.
+def moments(df: DataFrame, cols: list) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and sample covariance matrix of scalar columns; only the matrix reaches the driver.
 
-    The built-in correlation sums centred outer products as packed arrays, which no SQL aggregate over all
-    column pairs comes near; only the matrix reaches the driver.
+    Two passes: the means, then the products of the centred columns. Tasks multiply Arrow batches, whose columns
+    are contiguous, and Spark adds the tasks' matrices up cell by cell. One SQL aggregate per column pair would
+    exceed what a generated method can hold.
     """
-    n, mean, var, lo, hi = vector_stats(df, col)
-    corr = Correlation.corr(df.select(col), col).first()[0].toArray()
-    width = np.sqrt(np.array(var) * n / max(1, n - 1))
-    width[np.array(lo) == np.array(hi)] = 0.0
-    return n, np.array(mean), np.where(np.outer(width, width) > 0, corr * np.outer(width, width), 0.0)
+    d, names = len(cols), [f"x{i}" for i in range(len(cols))]
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    data = df.select(*[c.cast("double").alias(n) for c, n in zip(cols, names)])
+    row = data.agg(F.count(F.lit(1)), *[F.avg(c) for c in names]).first()
+    n, centre = row[0], np.array(row[1:], dtype=float)
+
+    def products(batches):
+        total = np.zeros(d * d)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            total += (x.T @ x).ravel()
+        yield cells(total)
+
+    cov = np.array(sum_cells(data.mapInArrow(products, CELLS))).reshape(d, d)
+    return n, centre, cov / max(1, n - 1)
 
 
 class PopulationScaler(Estimator, _InOut):

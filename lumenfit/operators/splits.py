@@ -101,9 +101,8 @@ def bootstrap_weights(
 ) -> DataFrame:
     """P-5: add an array with each row's Poisson(1) bootstrap count per tree; zero means out of bag."""
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    return df.withColumn(
-        name, F.transform(trees, lambda t: poisson1(F.lit(seed), F.col(key), t).cast("int"))
-    )
+    draws = F.transform(trees, lambda t: uniform(F.lit(seed), F.col(key), t))
+    return df.withColumn(name, F.transform(draws, poisson1))
 
 
 def epoch_order(df: DataFrame, epoch: int, seed: int = 42, key="idx") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lumenfit import schema
 from lumenfit.operators import boost, features as fe, forest, metrics, neural, scale, search, splits
+from lumenfit.operators.common import spread
 from lumenfit.operators.ensemble import predict_as
 from lumenfit.operators.linear import PixelLinearModel
 from lumenfit.plans.cal import FEATURES, FILE_KEY, cal, cal_targets
@@ -203,11 +204,11 @@ def model_frame(spark, sf):
     """Prepared rows with a feature vector and a fixed 75 / 25 split."""
     df = _normalised(cal(spark, sf))
     packed = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
-    return splits.hash_split(packed.select("idx", "flux", "fluxerr", "features"), test_size=0.25)
+    return spread(splits.hash_split(packed.select("idx", "flux", "fluxerr", "features"), test_size=0.25))
 
 
 def named_frame(spark, sf):
-    return splits.hash_split(_normalised(cal(spark, sf)).select("idx", "flux", *FEATURES), test_size=0.25)
+    return spread(splits.hash_split(_normalised(cal(spark, sf)).select("idx", "flux", *FEATURES), test_size=0.25))
 
 
 def _report(spark, model, df, **more):

@@ -99,7 +99,8 @@ def test_pipeline_flags(spark, cal_df):
 
 def test_moments(spark):
     x = np.random.default_rng(4).normal(size=(100, 3)) * [1, 5, 0]
-    n, mean, cov = scale.moments(vectors(spark, x), "features")
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(3)
+    n, mean, cov = scale.moments(df, ["a", "b", "c"])
     assert n == 100 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T))
 
 
