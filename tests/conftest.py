@@ -13,7 +13,7 @@ def spark():
     from lumenfit.session import get_spark
 
     session = get_spark(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
+        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
