@@ -70,11 +70,15 @@ class CenteredPCA(Estimator, _InOut):
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         src, out = self.getInputCol(), self.getOutputCol()
-        n, mean, var, _, _ = vector_stats(df, src)
+        df = df.select(src).persist()  # read four times below
+        try:
+            n, mean, var, _, _ = vector_stats(df, src)
+            k = self.getOrDefault(self.k) or len(mean)
+            # Components do not depend on the origin, so the fit itself reads the uncentred column.
+            pca = PCA(k=k, inputCol=src, outputCol=f"_{out}_raw").fit(df).setInputCol(f"_{out}_centred")
+        finally:
+            df.unpersist()
         centre = affine(src, f"_{out}_centred", mean, [1.0] * len(mean))
-        k = self.getOrDefault(self.k) or len(mean)
-        # Components do not depend on the origin, so the fit itself reads the uncentred column.
-        pca = PCA(k=k, inputCol=src, outputCol=f"_{out}_raw").fit(df).setInputCol(f"_{out}_centred")
         loadings = pca.pc.toArray()
         sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
         factor = sign

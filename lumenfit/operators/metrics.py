@@ -191,20 +191,27 @@ def residual_histogram(
     Without ``bins`` there is one per ``rows_per_bin`` rows. Empty bins are not listed.
     """
     x = F.expr(expr) if isinstance(expr, str) else expr
-    vals = df.select(x.cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
+    vals = df.select(x.cast("double").alias("_x")).select(F.when(~F.isnan("_x"), F.col("_x")).alias("_x"))
     if bins is None or lo is None or hi is None:
-        row = vals.agg(F.count(F.lit(1)), F.min("_x"), F.max("_x")).first()
+        row = vals.agg(F.count("_x"), F.min("_x"), F.max("_x")).first()
         bins = bins or max(1, row[0] // rows_per_bin)
         lo = row[1] if lo is None else lo
         hi = row[2] if hi is None else hi
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    number = F.floor((F.col("_x") - F.lit(lo)) / F.lit(width))
+    # Values outside fall into a bin on either side and are dropped after counting, not filtered before: the value
+    # may be a long derived expression, and a filter on it is costly to plan.
+    raw = F.floor((F.col("_x") - F.lit(lo)) / F.lit(width))
+    raw = F.least(F.greatest(raw, F.lit(-1)), F.lit(bins)).cast("bigint")
+    sizes = vals.groupBy(raw.alias("_raw")).agg(
+        F.count("_x").alias("_n"), F.count_if(F.col("_x") <= hi).alias("_top")
+    )
+    inside = F.when(F.col("_raw").between(0, bins - 1), F.col("_n")).when(F.col("_raw") == bins, F.col("_top"))
     counts = (
-        vals.where(F.col("_x").between(lo, hi))
-        .groupBy(F.least(number, F.lit(bins - 1)).cast("bigint").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        sizes.groupBy(F.least(F.greatest("_raw", F.lit(0)), F.lit(bins - 1)).cast("bigint").alias("bin"))
+        .agg(F.sum(inside).alias("n"))
+        .where("n > 0")
         .withColumns({
             "bin_lo": F.lit(lo) + F.col("bin") * F.lit(width),
             "bin_hi": F.lit(lo) + (F.col("bin") + 1) * F.lit(width),

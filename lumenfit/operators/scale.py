@@ -47,11 +47,14 @@ class AffineModel(Model, _InOut):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         shift, scale, offset = self.numbers()
-        arr = vector_to_array(F.col(self.getInputCol()))
-        out = F.zip_with(arr, literal_array(shift), lambda x, s: x - s)
-        out = F.zip_with(out, literal_array(scale), lambda x, s: x / s)
-        if any(offset):
-            out = F.zip_with(out, literal_array(offset), lambda x, s: x + s)
+        shifts, scales, offsets = (literal_array(v) for v in (shift, scale, offset))
+
+        def scaled(x: Column, i: Column) -> Column:
+            x = x - shifts.getItem(i)
+            x = x / scales.getItem(i) if any(s != 1.0 for s in scale) else x
+            return x + offsets.getItem(i) if any(offset) else x
+
+        out = F.transform(vector_to_array(F.col(self.getInputCol())), scaled)
         return df.withColumn(self.getOutputCol(), array_to_vector(out))
 
     def inverse(self, df: DataFrame, col: str, output: str) -> DataFrame:
