@@ -96,7 +96,7 @@ def test_save_only_if_absent(spark, cal_df, tmp_path):
     assert models.load(path, spark).getOrDefault("slope") is False
 
 
-CKPT = ("nalu_tf_save_dir/saves_20180829053116_nnl1_nnn16_nc1_bs32_lr0.001_ne2000_ts0.75_rs42_PP1_PCA0/"
+CKPT = ("runs/saves_20240131120000_nnl1_nnn16_nc1_bs32_lr0.001_ne2000_ts0.75_rs42_PP1_PCA0/"
         "model_epoch_FINAL_l1.1785e-05_a0.20335_BatchR2-0.97701_TestR2-0.97597.ckpt")
 
 
@@ -104,7 +104,7 @@ def test_checkpoint_names(spark):
     paths = [
         CKPT,
         CKPT.replace("epoch_FINAL", "epoch17").replace("TestR2-0.97597", "TestR2--0.5"),
-        CKPT.replace("_nnl1", "_WS20180829053116_nnl1").replace("nnn16", "nnn0"),
+        CKPT.replace("_nnl1", "_WS20240131120000_nnl1").replace("nnn16", "nnn0"),
     ]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
     rows = runs.parse_checkpoint(runs.parse_run(df)).orderBy("i").collect()
@@ -115,7 +115,7 @@ def test_checkpoint_names(spark):
     assert a["epoch"] is None and a["is_final"]
     assert (a["loss"], a["accuracy"], a["batch_r2"], a["test_r2"]) == (1.1785e-05, 0.20335, 0.97701, 0.97597)
     assert b["epoch"] == 17 and b["test_r2"] == -0.5 and not b["is_final"]
-    assert c["warm_start"] == "20180829053116"
+    assert c["warm_start"] == "20240131120000"
     assert [r["n_nalu_neurons"] for r in runs.default_neurons(runs.parse_run(df), 16).orderBy("i").collect()] == [16] * 3
     assert runs.best_run(runs.parse_checkpoint(df)).first()["best_test_r2"] == 0.97597
 
