@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,27 @@ def get_spark(app: str = "lumenfit", master: str | None = None, **conf) -> Spark
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_code(spark)
+    return spark
+
+
+_SHIPPED = "lumenfit-code.zip"
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Arrow tasks can import it there."""
+    sc = spark.sparkContext
+    if any(str(f).endswith(_SHIPPED) for f in sc.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # runs from an archive that was shipped already
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="lumenfit-code-"), _SHIPPED)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
