@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,20 +45,25 @@ def held_out(key: Column, parts: int, fold: int) -> Column:
     return F.coalesce(crc_fold(key, parts) == fold, F.lit(False))
 
 
-def hash_sample(rows: DataFrame, key: str, bound: int, seed: int = 0) -> DataFrame:
+def hash_sample(rows: DataFrame, key: str, bound: int, by: str | None = None, seed: int = 0) -> DataFrame:
     """All rows if there are at most ``bound``, else about ``bound`` of them, chosen by a hash of the key.
 
-    The choice does not depend on partitioning. Copies of a key are chosen together.
+    With ``by``, a column of few values, that holds for the rows of each value. The choice does not depend on
+    partitioning. Copies of a key are chosen together.
     """
-    n = rows.count()
-    if n <= bound:
+    whole = 1 << 32
+    group = F.col(by) if by else F.lit(0)
+    counts = rows.groupBy(group.alias("value")).count().collect()
+    limits = [(r["value"], int(bound / r["count"] * whole)) for r in counts if r["count"] > bound]
+    if not limits:
         return rows
-    limit = int(bound / n * (1 << 32))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 32))
-    return rows.where(draw < limit)
+    limit = F.lit(whole)
+    for value, most in limits:
+        limit = F.when(group.eqNullSafe(F.lit(value)), most).otherwise(limit)
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(whole)) < limit)
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def with_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with one row per key, where a key may hold any share of the rows.
 
     ``groups`` has the number of rows of each key in ``size``. Keys of more than ``total / HOT_PARTS`` rows, fewer than
@@ -76,3 +83,11 @@ BROADCAST_ROWS = 1_000_000  # rows of a key and a number or two: some tens of MB
 def few(rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table of narrow rows, marked for broadcast if it has at most ``bound`` rows; else joins shuffle."""
     return F.broadcast(rows) if rows.count() <= bound else rows
+
+
+def write_bucketed(rows: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """The rows stored under ``path``, one sorted file per bucket of the keys; joins on the keys need no shuffle."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = rows.repartition(buckets, *keys)
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)

@@ -1,4 +1,4 @@
 """Importing this module registers the operators' queries."""
 
-from lumenfit.llm import exactdedup, pieces, simhash, tokencount  # noqa: F401
+from lumenfit.llm import exactdedup, hnsw, langid, linededup, mixing, pieces, quality, simhash, tokencount, toxicity  # noqa: F401
 from lumenfit.llm.registry import ORACLES, QUERIES  # noqa: F401
