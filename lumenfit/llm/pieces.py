@@ -93,6 +93,7 @@ class Vocabulary:
         self.bytes = [b""] * self.size  # what each id decodes to
         for i in plain:
             self.bytes[i] = text[i].replace(MARK, " ").encode()
+        self.marked = {int(i) for i in plain if text[i][0] == MARK}
         for value, i in enumerate(self.byte):
             self.bytes[i] = bytes([value])
         self.bytes[int(np.flatnonzero(kind == self.UNKNOWN)[0])] = b" \xe2\x81\x87 "
@@ -237,8 +238,10 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids: pieces and bytes joined, without the white space mark that encoding puts in front."""
-        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        return _readable(raw[1:] if raw[:1] == b" " else raw)
+        ids = ids.tolist()
+        raw = b"".join(map(self.bytes.__getitem__, ids))
+        first = next((i for i in ids if i not in (self.begin, self.end)), self.begin)
+        return _readable(raw[1:] if first in self.marked else raw)
 
 
 def _readable(raw: bytes) -> str:
