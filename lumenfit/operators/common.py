@@ -39,14 +39,17 @@ def join_stats(left: DataFrame, stats: DataFrame, keys: list[str], how: str = "l
     return join_on(left, F.broadcast(stats) if small else stats, keys, how)
 
 
+ROWS_PER_PART = 100_000
+
+
 def spread(df: DataFrame, key: str = "idx") -> DataFrame:
-    """Rows of an input with fewer scan partitions than cores, hashed over the cores; larger inputs stay as is.
+    """Rows dealt by a hash of the key into a number of partitions that depends on their count alone, and sorted there.
 
-    Tree fits keep the partitioning they are given, so a small single-file table would be fitted by one core.
-    Call it on a plan without shuffles, whose partition count is known without running it.
+    Built-in tree fits draw bags and candidate splits per partition, in row order: dealt like this, a fit depends neither
+    on the cores nor on how the input was partitioned.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    parts = max(8, -(-df.count() // ROWS_PER_PART))
+    return df.repartition(parts, key).sortWithinPartitions(key)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -19,7 +19,6 @@ from lumenfit.operators.scale import (
 )
 from lumenfit.session import materialise_for_passes
 
-START_ROWS = 500_000  # sample used to choose the starting matrix of large fits
 INLINE_TERMS = 600  # beyond this many products a linear map is a loop instead of generated code
 
 
@@ -143,8 +142,7 @@ class SymmetricICA(Estimator, _InOut):
 
     The data are whitened once and kept; each iteration is one job in which every task adds up
     ``z g(Wz)'`` and ``g'(Wz)`` over its Arrow batches and Spark sums the k*k + k partial sums per cell. Only
-    the k by k matrix reaches the driver. Large tables are first iterated on a sample, which only chooses the
-    starting matrix; the iteration over all rows decides where it ends.
+    the k by k matrix reaches the driver. Every iteration, the first included, reads all rows.
     """
 
     k = Param(Params._dummy(), "k", "components, 0 for all", TypeConverters.toInt)
@@ -172,10 +170,6 @@ class SymmetricICA(Estimator, _InOut):
             w = _decorrelate(
                 np.random.default_rng(self.getOrDefault(self.seed)).normal(size=(len(keep), len(keep)))
             )
-            if n > 4 * START_ROWS:
-                few = materialise_for_passes(z.sample(fraction=START_ROWS / n, seed=self.getOrDefault(self.seed)))
-                w, _ = self._iterate(few, w, keep, few.count())
-                few.unpersist()
             w, steps = self._iterate(z, w, keep, n)
         finally:
             z.unpersist()

@@ -108,21 +108,24 @@ def sigma_clip(
     """F-15: drop rows further than ``k`` sigma from the centre in any column.
 
     Repeats until no row is dropped, or ``iters`` times. Centre and width are mean and population standard
-    deviation, or median and 1.4826 times the median absolute deviation. Each round adds literal bounds to
+    deviation, or median and 1.4826 times the median absolute deviation. Nulls and NaN are left out of the statistics
+    and never drop a row. Each round adds literal bounds to
     one filter over the source, so the plan does not grow with the rounds.
     """
     cols = as_list(cols)
     bounds: dict[str, list[float]] = {c: [-math.inf, math.inf] for c in cols}
 
     def keep() -> Column:
-        return all_of([F.col(c).between(*b) for c, b in bounds.items()])
+        return all_of([
+            F.coalesce(F.isnan(F.col(c).cast("double")) | F.col(c).between(*b), F.lit(True)) for c, b in bounds.items()
+        ])
 
     done, last = 0, None
     while iters is None or done < iters:
         # Rows outside the bounds count as nulls instead of being filtered, which keeps planning cheap.
-        inside = {c: F.when(keep(), F.col(c)) if done else F.col(c) for c in cols}
+        inside = {c: F.when(keep() & ~F.isnan(F.col(c).cast("double")), F.col(c)) for c in cols}
         row = df.agg(
-            F.count(inside[cols[0]]).alias("n"),
+            F.count_if(keep()).alias("n"),
             *[F.avg(x).alias(f"m_{c}") for c, x in inside.items()],
             *[F.stddev_pop(x).alias(f"s_{c}") for c, x in inside.items()],
         ).first()
@@ -131,6 +134,8 @@ def sigma_clip(
         last, done = row["n"], done + 1
         for c in cols:
             centre, width = row[f"m_{c}"], row[f"s_{c}"]
+            if centre is None:  # no value in the column
+                continue
             if robust:
                 kept = df.select(inside[c].alias(c))
                 centre = median_value(kept, c)

@@ -18,7 +18,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfit.operators.common import as_list
+from lumenfit.operators.common import as_list, spread
 from lumenfit.operators.decompose import CenteredPCA, SymmetricICA, _stages
 from lumenfit.operators.ensemble import EnsembleModel, LeafTableModel, tree_sum
 from lumenfit.operators.metrics import r2_expr
@@ -27,6 +27,20 @@ from lumenfit.operators.splits import bootstrap_weights
 from lumenfit.session import materialise
 
 
+class SteadyForest(RandomForestRegressor):
+    """The built-in forest on rows dealt by a hash, so that bags and trees do not depend on cores or input partitions.
+
+    Rows are dealt by ``idx`` if the table has it, else by their features and label.
+    """
+
+    def _fit(self, df: DataFrame):
+        cols = [self.getFeaturesCol(), self.getLabelCol()]
+        if self.isSet(self.weightCol):
+            cols.append(self.getWeightCol())
+        key = F.col("idx") if "idx" in df.columns else F.xxhash64(*cols)
+        return super()._fit(spread(df.select(*cols, key.alias("_key")), "_key").drop("_key"))
+
+
 def forest(
     numTrees=100, maxDepth=30, subset="all", subsample=1.0, minInstances=1, seed=42,
     featuresCol="features", labelCol="flux", maxBins=32,
@@ -35,7 +49,7 @@ def forest(
 
     Node ids are cached because deep trees would otherwise be walked from the root for every row and level.
     """
-    return RandomForestRegressor(
+    return SteadyForest(
         numTrees=numTrees, maxDepth=maxDepth, featureSubsetStrategy=str(subset),
         subsamplingRate=subsample, minInstancesPerNode=minInstances, seed=seed, maxBins=maxBins,
         featuresCol=featuresCol, labelCol=labelCol, cacheNodeIds=maxDepth > 10,

@@ -1,94 +1,47 @@
 """Order-dependent operators without a global single-task sort (W-1, W-2, W-3, W-7).
 
-A window without PARTITION BY sends every row to one task. Here the ordering column is cut at its own
-quantiles into buckets of bounded size, the window runs inside buckets, and what crosses a bucket edge (row
-offsets, the last value before the edge) is a per-bucket aggregate. Bucket edges are literals, so recomputing
-a lost task gives the same rows.
+A window without PARTITION BY sends every row to one task. Here the rows are dealt by range over all order columns into
+buckets of bounded size and stored, so that a bucket's rows stay the same however often they are read; the window runs
+inside buckets, and what crosses a bucket edge (row offsets, the last value before the edge) is a per-bucket aggregate.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfit.operators.common import as_list, join_on
+from lumenfit.operators.common import as_list, join_on, join_stats
+from lumenfit.session import materialise
 
-MAX_BUCKETS = 16_384
 ROWS_PER_BUCKET = 1_000_000
-SAMPLE_PER_BUCKET = 64
-
-
-def quantile_edges(df: DataFrame, col: Column, n: int, rows_per_bucket: int) -> list[float]:
-    """Inner edges cutting ``n`` values into buckets of about ``rows_per_bucket``.
-
-    Edges come from a sample, as in range partitioning: they decide how even the buckets are, never which rows
-    are in the result. The sample is bounded, so its sketch fits one reducer whatever ``n`` is.
-    """
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
-    if buckets == 1:
-        return []
-    return sampled_quantiles(df, col, n, [k / buckets for k in range(1, buckets)])
+SAMPLE_ROWS = 1 << 20
 
 
 def sampled_quantiles(df: DataFrame, col: Column, n: int, probs: list[float]) -> list[float]:
-    wanted = SAMPLE_PER_BUCKET * MAX_BUCKETS
-    seen = df.sample(fraction=wanted / n, seed=7) if n > 2 * wanted else df
+    """Quantiles of a sample of bounded size, so its sketch fits one reducer whatever ``n`` is."""
+    seen = df.sample(fraction=SAMPLE_ROWS / n, seed=7) if n > 2 * SAMPLE_ROWS else df
     accuracy = max(10_000, 10 * len(probs))
     return list(seen.agg(F.percentile_approx(col, probs, accuracy)).first()[0] or [])
 
 
-def bucketise(df: DataFrame, value: str, edges: list[float], output: str) -> DataFrame:
-    """Bucket number of a double column; buckets are closed on the left."""
-    inner = sorted({float(e) for e in edges if math.isfinite(e)})
-    splits = [-math.inf, *inner, math.inf]
-    return Bucketizer(
-        splits=splits, inputCol=value, outputCol=output, handleInvalid="keep"
-    ).transform(df)
-
-
-def _sort_value(name: str) -> Column:
-    """The ordering column as a double, nulls lowest, as Spark sorts them."""
-    return F.coalesce(F.col(name).cast("double"), F.lit(-math.inf))
-
-
 def with_order_buckets(
-    df: DataFrame, order, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, order, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Add bucket columns that follow the order ``order`` (numeric columns, together unique).
-
-    No columns are added when one bucket holds all rows.
+    """Add a bucket column that follows the order ``order`` (columns of any sortable type, together unique).
 
-    A value of the first column that alone fills more than a bucket gets a bucket of its own, cut again
-    by the second column, so heavily tied leading values do not end in one task.
+    No column is added when one bucket holds all rows. Otherwise there are half as many more buckets than needed, so that
+    sampled edges leave none much above ``rows_per_bucket``. Edges are tuples of all order columns: however many rows tie
+    on the leading columns, or have null there, the following columns cut them.
     """
     order = as_list(order)
-    n = df.count()
+    n = df.count() if rows is None else rows
     if n <= rows_per_bucket:
         return df, []
-    keyed = df.withColumn("_o1", _sort_value(order[0]))
-    edges = quantile_edges(keyed, F.col("_o1"), n, rows_per_bucket)
-    hot = sorted({e for e, f in zip(edges, edges[1:]) if e == f and abs(e) < 2.0**53})
-    edges = edges + [float(np.nextafter(v, math.inf)) for v in hot]
-    keyed = bucketise(keyed, "_o1", edges, "_b1")
-    if hot and len(order) > 1:
-        keyed = keyed.withColumn("_o2", _sort_value(order[1]))
-        tied = F.col("_o1").isin(hot)
-        inner = quantile_edges(keyed.where(tied), F.col("_o2"), n, rows_per_bucket)
-        keyed = bucketise(keyed, "_o2", inner, "_b2")
-        keyed = keyed.withColumn("_b2", F.when(tied, F.col("_b2")).otherwise(F.lit(0.0))).drop("_o2")
-    else:
-        keyed = keyed.withColumn("_b2", F.lit(0.0))
-    return keyed.drop("_o1"), ["_b1", "_b2"]
-
-
-def _edges_frame(df: DataFrame, rows: list[tuple], name: str, dtype: str) -> DataFrame:
-    """Per-bucket constants: a few numbers for each of a bounded number of buckets, so broadcasting is safe."""
-    spark = df.sparkSession
-    return F.broadcast(spark.createDataFrame(rows, f"_b1 double, _b2 double, {name} {dtype}"))
+    buckets = math.ceil(1.5 * n / rows_per_bucket)
+    dealt = df.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id())
+    return materialise(dealt), ["_bucket"]
 
 
 def with_dense_index(
@@ -100,15 +53,11 @@ def with_dense_index(
     local = F.row_number().over(w).cast("bigint") - 1
     if not buckets:
         return df.withColumn(name, local)
-    sizes = sorted(tuple(r) for r in keyed.groupBy(*buckets).count().collect())
-    offsets, total = [], 0
-    for b1, b2, count in sizes:
-        offsets.append((b1, b2, total))
-        total += count
-    edges = _edges_frame(df, offsets, "_offset", "bigint")
+    before = Window.partitionBy().orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    sizes = keyed.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*buckets, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     return (
-        keyed.withColumn("_local", local)
-        .join(edges, buckets)
+        join_stats(keyed.withColumn("_local", local), offsets, buckets)
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop(*buckets, "_local", "_offset")
     )
@@ -127,13 +76,11 @@ def lag_diff(
     if not buckets:
         return df.withColumn(name, F.col(col) - previous)
     last = keyed.groupBy(*buckets).agg(F.max_by(F.col(col), F.struct(*order)).alias("_last"))
-    tails = sorted((tuple(r) for r in last.collect()), key=lambda r: r[:2])
-    carried = [(*nxt[:2], prev[2]) for prev, nxt in zip(tails, tails[1:])]
-    edges = _edges_frame(df, carried, "_carry", keyed.schema[col].dataType.simpleString())
+    before = Window.partitionBy().orderBy(*buckets)  # a row per bucket
+    carried = last.select(*buckets, F.lag("_last").over(before).alias("_carry"))
     first = F.row_number().over(w) == 1
     return (
-        keyed.withColumns({"_prev": previous, "_first": first})
-        .join(edges, buckets, "left")
+        join_stats(keyed.withColumns({"_prev": previous, "_first": first}), carried, buckets)
         .withColumn(
             name,
             F.col(col) - F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfit.operators.common import BROADCAST_ROWS, as_list, join_on
-from lumenfit.operators.index import bucketise, quantile_edges, sampled_quantiles
+from lumenfit.operators.index import sampled_quantiles, with_order_buckets
 from lumenfit.session import materialise
 
 SMALL = 500_000
@@ -43,6 +43,7 @@ def exact_quantile_value(df: DataFrame, col: str, p: float = 0.5, small: int = S
     if n <= small:
         value = vals.agg(F.percentile("_v", F.lit(p))).first()[0]
         return math.nan if value is None else float(value)
+    vals = materialise(vals)  # one column, read several times below
     low, high, weight = _ranks(n, p)
     first = _value_at(vals, low, n, small)
     if weight == 0 or high == low:
@@ -95,9 +96,9 @@ def exact_median(
 ) -> DataFrame:
     """E-21: the exact median per group (one row when ``by`` is None).
 
-    Up to ``small`` rows in all, the built-in aggregate is used. Beyond that the values are cut at global
-    quantiles: a group's row counts per bucket, a map-side-combined aggregate, say which bucket holds its middle
-    ranks, and only rows of that bucket are ordered, as distinct values with counts so that ties cost nothing.
+    Up to ``small`` rows in all, the built-in aggregate is used. Beyond that distinct values are counted per group,
+    so that ties cost nothing, and dealt by range of (group, value) into buckets: a group's counts per bucket say
+    which bucket holds its middle ranks, and only values of that bucket are ordered.
     """
     by = as_list(by)
     vals = _values(df, col, by)
@@ -108,10 +109,12 @@ def exact_median(
         value = median_value(df, col, small)
         return df.sparkSession.createDataFrame([(value,)], f"{name} double")
 
-    cut = bucketise(vals, "_v", quantile_edges(vals, F.col("_v"), n, small), "_b")
+    tally = vals.where("_v is not null").groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    cut, buckets = with_order_buckets(tally, [*by, "_v"], small)
+    cut = cut if buckets else cut.withColumn("_bucket", F.lit(0))
     group = Window.partitionBy(*by)
-    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = cut.groupBy(*by, "_b").agg(F.count("_v").alias("_size"))
+    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = cut.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_size"))
     wanted = materialise(
         sizes.withColumns({"_end": F.sum("_size").over(upto), "_n": F.sum("_size").over(group)})
         .withColumns({
@@ -120,15 +123,11 @@ def exact_median(
             "_high": F.expr("_n div 2"),
         })
         .where("_start <= _high and _end > _low")
-        .select(*by, "_b", "_start", "_low", "_high")
+        .select(*by, "_bucket", "_start", "_low", "_high")
     )
-    keys, tally = [*by, "_b"], F.count("_v").alias("_c")
-    if wanted.count() <= BROADCAST_ROWS:
-        # Two rows per group at most: the other buckets' rows never leave their task.
-        found = join_on(cut, F.broadcast(wanted), keys).groupBy(*keys, "_start", "_low", "_high", "_v").agg(tally)
-    else:
-        # Counting distinct values first spreads a hot group over all tasks before the join.
-        found = join_on(cut.groupBy(*keys, "_v").agg(tally), wanted, keys)
+    keys = [*by, "_bucket"]
+    # Two rows per group at most: if they are few, the other buckets' rows never leave their task.
+    found = join_on(cut, F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, keys)
     inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
         found.withColumn("_to", F.col("_start") + F.sum("_c").over(inside))

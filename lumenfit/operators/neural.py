@@ -1,8 +1,9 @@
 """Networks trained data-parallel on Spark (R-14, R-17 .. R-20).
 
-Rows are hashed into a fixed number of shards, checkpointed and cached. An epoch is one job: every task starts from the same
-weights, runs seeded minibatch steps over its Arrow batches and emits its weights times its row count, cell by
-cell; the cells are added up by Spark, so the driver's part does not grow with the shards.
+Rows are hashed into lanes, whose number depends on the row count alone, checkpointed and cached. An epoch is one job: every
+lane starts from the same weights, takes minibatch steps through its rows in an order hashed from epoch and key, and its
+weights count by its rows; the sums are added up by Spark, so the driver's part does not grow with the lanes. Lanes are dealt
+to tasks, which decides neither order nor steps: shards and cores do not change what is learned.
 Averaged local steps are not the sequential minibatch descent of a single machine; ``mode="sync"`` takes one
 full-gradient step per epoch instead, whose result does not depend on the sharding.
 """
@@ -40,22 +41,41 @@ def _features(df: DataFrame, col: str) -> Column:
     return vector_to_array(F.col(col))
 
 
+ROWS_PER_LANE = 10_000  # rows that one lane steps through between two averages
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)  # odd constants that spread bits
+
+
+def _lane_rows(batches):
+    """The rows of each lane as arrays; a task's batches come sorted by lane and key hash."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lanes = batch.column("lane").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(lanes)) + 1).tolist(), len(lanes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column("lane")[0].as_py() != lanes[a]:
+                yield _arrays(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _arrays(held)
+
+
+def _arrays(batches):
+    table = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    plain = [table.column(c).to_numpy(zero_copy_only=False) for c in ("h", "y", "e", "t")]
+    return int(table.column("lane")[0].as_py()), kernels.matrix(table.column("x")), *plain
+
+
 def _epoch_task(spec, flat, m, v, t, lr, batch, seed, epoch, mode, shift, learn):
-    """The function one task runs over its Arrow batches."""
+    """The function one task runs over its lanes."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        w, m1, v1, t1 = flat.copy(), m.copy(), v.copy(), t
-        grads, trained = np.zeros_like(flat), 0
-        sums = np.zeros((2, len(_SUMS)))
-        for number, rows_in in enumerate(batches):
-            if not rows_in.num_rows:
-                continue
-            x = kernels.matrix(rows_in.column("x"))
-            y, err, test = (rows_in.column(c).to_numpy(zero_copy_only=False) for c in ("y", "e", "t"))
-            pred, cache = kernels.forward(spec, flat, x)
+        total, grads = np.zeros(3 * len(flat) + 1), np.zeros_like(flat)
+        trained, sums = 0, np.zeros((2, len(_SUMS)))
+        for lane, x, h, y, err, test in _lane_rows(batches):
+            pred, _ = kernels.forward(spec, flat, x)
             diff, moved = pred - y, y - shift
             cells = np.stack([
                 np.ones_like(y), diff**2, np.abs(diff), (diff / err) ** 2,
@@ -73,20 +93,20 @@ def _epoch_task(spec, flat, m, v, t, lr, batch, seed, epoch, mode, shift, learn)
                 d = kernels.loss_gradient(plain, p, y[rows], err[rows])
                 grads += kernels.backward(plain, flat, cache, d)
                 continue
-            rng = np.random.default_rng([seed, epoch, shard, number])
-            rows = rng.permutation(rows)
+            key = (h[rows].astype(np.uint64) + np.uint64(epoch + 1)) * np.uint64(_MIX[0])
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(_MIX[1])
+            rows = rows[np.lexsort((h[rows], key ^ (key >> np.uint64(32))))]
+            rng = np.random.default_rng([seed, epoch, lane])  # dropout
+            w, m1, v1, t1 = flat.copy(), m.copy(), v.copy(), t
             for at in range(0, len(rows), batch):
                 b = rows[at:at + batch]
                 p, cache = kernels.forward(spec, w, x[b], True, rng)
                 g = kernels.backward(spec, w, cache, kernels.loss_gradient(spec, p, y[b], err[b]))
                 t1 = kernels.adam(w, g, m1, v1, t1, lr)
                 kernels.update_moving(spec, w, cache)
-        if mode == "sync":
-            body = [grads]
-        else:
-            body = [trained * w, trained * m1, trained * v1, [trained * t1]]
-        values = np.concatenate([*body, [trained], sums.ravel()])
-        yield kernels.cells(values)
+            total += len(rows) * np.concatenate([w, m1, v1, [t1]])
+        body = grads if mode == "sync" else total
+        yield kernels.cells(np.concatenate([body, [trained], sums.ravel()]))
 
     return run
 
@@ -114,9 +134,8 @@ def _metrics(sums: np.ndarray) -> dict:
         sst = s["yy"] - s["y"] ** 2 / s["n"] if s["n"] else 0.0
         out[f"r2_{name}"] = 1.0 - s["sse"] / sst if sst > 0 else None
         out[f"chisq_{name}"] = float(s["chisq"]) if s["n"] else None
-    n = sums[:, 0].sum()
     out["loss"] = float(0.5 * sums[0, 1])
-    out["accuracy"] = float(sums[:, 4].sum() / n) if n else None
+    out["accuracy"] = float(sums[0, 4] / sums[0, 0]) if sums[0, 0] else None
     return out
 
 
@@ -128,7 +147,7 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
     epochs = Param(Params._dummy(), "epochs", "passes over the data", TypeConverters.toInt)
     batch = Param(Params._dummy(), "batch", "minibatch rows", TypeConverters.toInt)
     lr = Param(Params._dummy(), "lr", "learning rate", TypeConverters.toFloat)
-    shards = Param(Params._dummy(), "shards", "data shards, 0 for one per core", TypeConverters.toInt)
+    shards = Param(Params._dummy(), "shards", "partitions of the data, 0 for one per lane", TypeConverters.toInt)
     mode = Param(Params._dummy(), "mode", "average or sync", TypeConverters.toString)
     keepBest = Param(Params._dummy(), "keepBest", "keep the best test R2 weights", TypeConverters.toBoolean)
 
@@ -144,9 +163,10 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
         raise NotImplementedError
 
     def _prepared(self, df: DataFrame) -> DataFrame:
-        """Rows in their shards, in a fixed order, as arrays."""
+        """Rows in their lanes, in a fixed order, as arrays."""
         err, split = self.getOrDefault(self.errCol), self.getOrDefault(self.splitCol)
-        shards = self.getOrDefault(self.shards) or df.sparkSession.sparkContext.defaultParallelism
+        lanes = max(1, -(-df.count() // ROWS_PER_LANE))
+        shards = self.getOrDefault(self.shards) or lanes
         test = F.col(split) != "train" if split else F.lit(False)
         return df.select(
             hash60(self.getOrDefault(self.keyCol), self.getSeed()).alias("h"),
@@ -154,7 +174,7 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
             F.col(self.getLabelCol()).cast("double").alias("y"),
             (F.col(err).cast("double") if err else F.lit(1.0)).alias("e"),
             test.alias("t"),
-        ).repartition(shards, "h").sortWithinPartitions("h")
+        ).withColumn("lane", F.col("h") % lanes).repartition(shards, "lane").sortWithinPartitions("lane", "h")
 
     def _train(self, df: DataFrame, start: "NetworkModel | None" = None) -> "NetworkModel":
         data = materialise_for_passes(self._prepared(df))

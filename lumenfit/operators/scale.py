@@ -86,25 +86,36 @@ def vector_stats(df: DataFrame, col: str):
 def moments(df: DataFrame, cols: list) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, means and sample covariance matrix of scalar columns; only the matrix reaches the driver.
 
-    Two passes: the means, then the products of the centred columns. Tasks multiply Arrow batches, whose columns
-    are contiguous, and Spark adds the tasks' matrices up cell by cell. One SQL aggregate per column pair would
-    exceed what a generated method can hold.
+    Nulls are skipped as SQL's ``avg`` and ``covar_samp`` skip them: a mean is over a column's values, a covariance over
+    the rows that have both. Two passes: the means, then, per pair, the count, the sums and the products of the centred
+    columns, multiplied by Arrow batch and added up by Spark cell by cell. A column without a value has mean NaN, and a
+    pair without two common rows covariance NaN. NaN values are values.
     """
     d, names = len(cols), [f"x{i}" for i in range(len(cols))]
     cols = [F.col(c) if isinstance(c, str) else c for c in cols]
     data = df.select(*[c.cast("double").alias(n) for c, n in zip(cols, names)])
     row = data.agg(F.count(F.lit(1)), *[F.avg(c) for c in names]).first()
-    n, centre = row[0], np.array(row[1:], dtype=float)
+    n, means = row[0], np.array([np.nan if m is None else m for m in row[1:]], dtype=float)
+    centre = np.where(np.isfinite(means), means, 0.0)
+    size = d * d
 
     def products(batches):
-        total = np.zeros(d * d)
+        total = np.zeros(3 * size)
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
-            total += (x.T @ x).ravel()
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            total[:size] += (x.T @ x).ravel()
+            total[size : 2 * size] += (x.T @ there).ravel()  # sums of a over the rows that have b
+            total[2 * size :] += (there.T @ there).ravel()
         yield cells(total)
 
-    cov = np.array(sum_cells(data.mapInArrow(products, CELLS))).reshape(d, d)
-    return n, centre, cov / max(1, n - 1)
+    if n == 0:
+        return 0, means, np.full((d, d), np.nan)
+    cross, sums, counts = np.array(sum_cells(data.mapInArrow(products, CELLS))).reshape(3, d, d)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = np.where(counts > 1, (cross - sums * sums.T / counts) / (counts - 1), np.nan)
+    return n, means, cov
 
 
 class PopulationScaler(Estimator, _InOut):

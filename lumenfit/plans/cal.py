@@ -41,7 +41,6 @@ _DERIVED = {
     "sigma_bg_flux": "1e-4 + 1e-6*(idx%19)",
     **{p: p for p in PIXELS},
 }
-_VECTORS = 500  # the vectors an event can refer to
 
 
 def _fill(expr: str, element: str) -> str:
@@ -62,8 +61,8 @@ def _mjd(df: DataFrame) -> str:
 def cal(spark: SparkSession, sf_dir: str, extra: dict[str, str] | None = None) -> DataFrame:
     """The calibration table; ``extra`` adds columns computed from the events row.
 
-    An event refers to one of the first 500 vectors, a fixed number however large ``embeddings`` is, so that
-    side is filtered to them and broadcast.
+    An event refers to the vector whose number is its own modulo the number of vectors (numbered from 0), so that all
+    vectors are in use.
     """
     extra = extra or {}
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -73,8 +72,8 @@ def cal(spark: SparkSession, sf_dir: str, extra: dict[str, str] | None = None) -
 
 def from_events(events: DataFrame, vectors: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     extra = extra or {}
-    few = vectors.where((F.col("vec_id") >= 0) & (F.col("vec_id") < _VECTORS)).select("vec_id", "embedding")
-    joined = events.join(F.broadcast(few), F.expr(f"event_id % {_VECTORS} = vec_id"))
+    refers = F.col("event_id") % F.lit(max(1, vectors.count()))
+    joined = events.join(vectors.select("vec_id", "embedding"), refers == F.col("vec_id"))
     element = "cast(element_at(embedding, {}) as double)"
     base = joined.selectExpr(
         "event_id as idx", f"{_mjd(events)} as bmjd", "value as v",
@@ -93,7 +92,7 @@ def cal_sql(extra: dict[str, str] | None = None) -> str:
     derived = ", ".join([f"{e} as {c}" for c, e in _DERIVED.items()] + list(extra))
     return (
         "cal_base as (select event_id as idx, epoch_us(ts)/86400e6+40587e0 as bmjd, value as v, "
-        f"{base} from events join embeddings on event_id % {_VECTORS} = vec_id), "
+        f"{base} from events join embeddings on event_id % (select count(*) from embeddings) = vec_id), "
         f"cal as (select {derived} from cal_base)"
     )
 

@@ -188,11 +188,11 @@ def stream_score(spark, sf):
 
 @query("stream_residuals", on_cal(_BY_FILE, MED, _NORM, *_TARGET_FIT, extra=FILE_KEY))
 def stream_residuals(spark, sf):
-    """Residual scores per file from each micro-batch."""
-    stream = scoring.stream_targets(spark, _target_files(spark, sf), schema=_STREAM_SCHEMA)
+    """Residual scores per file, added up over micro-batches of one file each."""
+    stream = scoring.stream_targets(spark, _target_files(spark, sf), schema=_STREAM_SCHEMA, max_files=1)
     out = scratch_path(spark, "residuals")
     scoring.residual_stream(stream, _pixel_pipeline(spark, sf), out, scratch_path(spark, "cp")).awaitTermination()
-    return rounded(spark.read.parquet(out), ["r2", "chisq"], 4, keep=("file_key", "n"))
+    return rounded(scoring.read_residuals(spark, out), ["r2", "chisq"], 4, keep=("file_key", "n"))
 
 
 # --- trees -------------------------------------------------------------------------------------------------

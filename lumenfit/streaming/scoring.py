@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfit import schema as sch
-from lumenfit.operators import metrics
 from lumenfit.sources.tables import file_key
 
 
 def stream_targets(
     spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
-    max_files: int | None = None,
+    max_files: int | None = None, exclude: str = "NALU",
 ) -> DataFrame:
-    """A streaming read of target files with their ``file_key``, from the file name unless the schema has one."""
+    """A streaming read of target files with their ``file_key``, from the file name unless the schema has one.
+
+    As in a batch read, files whose names contain ``exclude`` are skipped.
+    """
     reader = spark.readStream.format(fmt).schema(schema or sch.TARGET_SCHEMA)
     if fmt == "csv":
         reader = reader.option("header", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.load(path)
+    stream = stream.where(~F.col("_metadata.file_name").contains(exclude))
     return stream if "file_key" in stream.columns else stream.select("*", file_key().alias("file_key"))
 
 
@@ -47,17 +50,18 @@ def score_stream(stream: DataFrame, model, out: str, checkpoint: str, fmt: str =
 def residual_stream(
     stream: DataFrame, model, out: str, checkpoint: str, y: str = "flux", err: str = "fluxerr"
 ):
-    """ST-2: per micro-batch, residual scores per file, written under the batch's own folder.
+    """ST-2: per micro-batch and file, the sums that residual scores are made of, under the batch's own folder.
 
-    A replayed batch overwrites its folder, so a retry does not count a file twice.
+    A replayed batch overwrites its folder, so a retry does not count a file twice. A file may arrive in several
+    batches: :func:`read_residuals` adds its sums up.
     """
+    label, off = F.col(y), F.col(y) - F.col("prediction")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = model.transform(batch)
+        scored = model.transform(batch).where(label.isNotNull() & F.col("prediction").isNotNull())
         rows = scored.groupBy("file_key").agg(
-            F.count(F.lit(1)).alias("n"),
-            metrics.r2_expr(y, "prediction").alias("r2"),
-            F.sum(metrics.chi_expr(y, "prediction", err)).alias("chisq"),
+            F.count(F.lit(1)).alias("n"), F.sum(label).alias("sum_y"), F.sum(label * label).alias("sum_yy"),
+            F.sum(off * off).alias("sse"), F.sum((off / F.col(err)) ** 2).alias("chisq"),
         )
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
@@ -67,3 +71,12 @@ def residual_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_residuals(spark: SparkSession, out: str) -> DataFrame:
+    """One row per file over all micro-batches: ``file_key, n, r2, chisq``."""
+    sums = spark.read.parquet(out).groupBy("file_key").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sum_y", "sum_yy", "sse", "chisq")]
+    )
+    spread = F.col("sum_yy") - F.col("sum_y") * F.col("sum_y") / F.col("n")
+    return sums.select("file_key", "n", F.when(spread > 0, 1 - F.col("sse") / spread).alias("r2"), "chisq")

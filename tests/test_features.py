@@ -104,3 +104,12 @@ def test_scores_against_numpy(spark):
     row = metrics.scatter_improvement(df).first()
     assert row["scatter_raw_pct"] == round(100 * np.std(y - np.median(y)), 3)
     assert row["scatter_fit_pct"] == round(100 * np.std(y - p), 3)
+
+
+def test_sigma_clip_keeps_rows_without_a_value(spark):
+    df = spark.range(400).selectExpr(
+        "id as idx", "case when id % 10 = 0 then null when id % 10 = 1 then double('NaN') when id = 5 then 1e6 else id % 7 end as x"
+    )
+    for robust in (False, True):
+        kept = {r["idx"] for r in fe.sigma_clip(df, "x", robust=robust).select("idx").collect()}
+        assert kept == set(range(400)) - {5}

@@ -212,6 +212,36 @@ def test_sync_training_does_not_depend_on_shards(toy):
     np.testing.assert_allclose(runs[0], runs[2], rtol=1e-9)
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_minibatch_training_does_not_depend_on_shards(spark, toy, dropout, monkeypatch):
+    from lumenfit.operators.splits import hash_split
+
+    df = hash_split(toy, test_size=0.25)
+    runs = []
+    monkeypatch.setattr(neural, "ROWS_PER_LANE", 60)  # several lanes of the small table
+    for shards in (1, 4, 16):
+        est = neural.DenseRegressor(hidden=[6], dropout=dropout, epochs=3, lr=0.02, splitCol="split", shards=shards)
+        runs.append([tuple(r) for r in est.fit(df.repartition(shards + 2)).history(spark).orderBy("epoch").collect()])
+    for other in runs[1:]:
+        np.testing.assert_allclose(np.array(runs[0], float), np.array(other, float), rtol=1e-6)
+
+
+def test_history_accuracy_is_of_the_training_rows():
+    sums = np.zeros((2, len(neural._SUMS)))
+    sums[0, [0, 4, 6]], sums[1, [0, 4, 6]] = (10, 4, 1.0), (5, 5, 1.0)
+    assert neural._metrics(sums)["accuracy"] == 0.4
+
+
+def test_forest_does_not_depend_on_partitions(toy):
+    from lumenfit.operators import forest
+
+    fits = [forest.forest(numTrees=3, maxDepth=4).fit(toy.repartition(n)).toDebugString.split("\n", 1)[1] for n in (2, 8)]
+    assert fits[0] == fits[1]
+    bare = toy.select("features", "flux")
+    fits = [forest.forest(numTrees=2, maxDepth=3).fit(bare.repartition(n)).toDebugString.split("\n", 1)[1] for n in (3, 5)]
+    assert fits[0] == fits[1]
+
+
 def test_training_is_repeatable_and_learns(spark, toy, tmp_path):
     from lumenfit.operators.splits import hash_split
 

@@ -33,10 +33,22 @@ def test_dense_index_hot_value(spark):
     assert sorted(got["rn"]) == list(range(1000))
 
 
-def test_hot_value_is_cut_by_second_column(spark):
-    df = spark.range(2000).selectExpr("id as idx", "if(id % 10 < 9, 1e0, id) as t")
-    keyed, buckets = index.with_order_buckets(df, ["t", "idx"], 100)
-    assert keyed.groupBy(*buckets).count().agg(F.max("count")).first()[0] <= 300
+HOT = {
+    "value": "if(id % 10 < 9, 1e0, id)", "nulls": "if(id % 10 < 6, null, cast(id as double))", "large": "9007199254740993e0",
+    "many": "cast(id % 100 as double)",
+}
+
+
+@pytest.mark.parametrize("name", HOT)
+@pytest.mark.parametrize("ties", [1, 3000])
+def test_hot_values_are_cut_by_the_next_columns(spark, name, ties):
+    """Rows that tie on one or two leading columns, or are null there, still end in buckets of bounded size."""
+    df = spark.range(3000).selectExpr("id as idx", f"{HOT[name]} as t", f"id div {ties} as u")
+    keyed, buckets = index.with_order_buckets(scrambled(df, 5), ["t", "u", "idx"], 100)
+    sizes = [r["count"] for r in keyed.groupBy(*buckets).count().collect()]
+    assert max(sizes) <= 200 and len(sizes) <= 2 * 3000 / 100
+    got = index.with_dense_index(df, ["t", "u", "idx"], rows_per_bucket=100).orderBy("rn").toPandas()
+    assert got["idx"].tolist() == df.orderBy("t", "u", "idx").toPandas()["idx"].tolist()
 
 
 @pytest.mark.parametrize("rows", [23, 10_000])

@@ -115,3 +115,18 @@ def test_assembled_columns_keep_order(spark):
         spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     )
     assert matrix(df, "features").tolist() == [[1.0, 2.0]]
+
+
+def test_covariance_with_nulls_agrees_with_sql(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfit.operators.decompose import covariance
+
+    df = spark.range(200).selectExpr(
+        "if(id % 7 = 0, null, cast(id as double)) as a", "if(id % 5 = 0, null, id * 3.5e0 + id % 3) as b", "cast(null as double) as c"
+    )
+    got = {(r["a"], r["b"]): r["cov"] for r in covariance(df, ["a", "b", "c"]).collect()}
+    want = df.agg(F.var_samp("a"), F.covar_samp("a", "b"), F.var_samp("b")).first()
+    assert [got["a", "a"], got["a", "b"], got["b", "b"]] == pytest.approx(list(want), rel=1e-12)
+    assert all(np.isnan(v) for k, v in got.items() if "c" in k)
+    assert all(np.isnan(r["cov"]) for r in covariance(df.limit(0), ["a", "b"]).collect())
