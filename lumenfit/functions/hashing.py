@@ -30,10 +30,32 @@ def hash60(key, *salt) -> Column:
     return F.conv(F.substring(md5_key(key, *salt), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
+UNIFORM_BITS = 52
+
+
 def uniform(*parts) -> Column:
-    """A double in (0, 1) from ``xxhash64`` of the parts."""
-    h = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+    """A double in (0, 1) from the digest of the parts, written as text and joined by colons (SQL engines agree on it)."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    h = F.conv(F.substring(F.md5(text), 1, UNIFORM_BITS // 4), 16, 10).cast("bigint")
+    return (h.cast("double") + F.lit(0.5)) * F.lit(2.0**-UNIFORM_BITS)
+
+
+def uniform_sql(*parts: str) -> str:
+    """The same draw as SQL text; the parts are SQL expressions."""
+    text = " || ':' || ".join(f"cast({p} as varchar)" for p in parts)
+    return f"((cast('0x' || substr(md5({text}), 1, {UNIFORM_BITS // 4}) as bigint) + 5e-1) * {2.0**-UNIFORM_BITS!r})"
+
+
+def normal_sql(*parts: str) -> str:
+    """:func:`normal` as SQL text."""
+    u1, u2 = uniform_sql(*parts, "'radius'"), uniform_sql(*parts, "'angle'")
+    return f"(sqrt(-2e0 * ln({u1})) * cos(6.283185307179586e0 * {u2}))"
+
+
+def poisson1_sql(u: str) -> str:
+    """:func:`poisson1` as SQL text."""
+    cdf = _poisson_cdf()
+    return "case " + " ".join(f"when {u} < {c!r}e0 then {k}" for k, c in enumerate(cdf)) + f" else {len(cdf)} end"
 
 
 def normal(*parts) -> Column:

@@ -231,20 +231,19 @@ class OOBForest(Estimator, _TreeParams):
     def _oob_score(self, bags: DataFrame, trees: list) -> float | None:
         """R2 of each row's mean prediction over the trees that did not see it.
 
-        Trees are applied in blocks, which keeps plans short; the blocks' sums meet per row key.
+        One narrow pass: trees are applied in blocks that add to a row's running sum and count, and nothing is shuffled
+        but the final aggregate.
         """
-        y, key = self.getLabelCol(), self.getOrDefault(self.keyCol)
-        parts = None
+        x, y = self.getFeaturesCol(), self.getLabelCol()
+        rows = bags.select(x, y, "_w", F.lit(0.0).alias("_s"), F.lit(0).alias("_c"))
         for at in range(0, len(trees), OOB_BLOCK):
-            scored, total, count = bags, F.lit(0.0), F.lit(0)
+            total, count = F.col("_s"), F.col("_c")
             for t in range(at, min(at + OOB_BLOCK, len(trees))):
                 out = F.col("_w")[t] == 0
-                scored = trees[t].copy({trees[t].predictionCol: f"_p{t}"}).transform(scored)
+                rows = trees[t].copy({trees[t].predictionCol: f"_p{t}"}).transform(rows)
                 total = total + F.when(out, F.col(f"_p{t}")).otherwise(0.0)
                 count = count + F.when(out, 1).otherwise(0)
-            block = scored.select(key, y, total.alias("_s"), count.alias("_c"))
-            parts = block if parts is None else parts.union(block)
-        rows = parts.groupBy(key).agg(F.first(y).alias(y), F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+            rows = rows.select(x, y, "_w", total.alias("_s"), count.alias("_c"))
         seen = rows.where("_c > 0").withColumn("_oob", F.col("_s") / F.col("_c"))
         return seen.agg(r2_expr(y, "_oob")).first()[0]
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfit import schema
+from lumenfit.functions import kernels
+from lumenfit.functions.hashing import poisson1_sql, uniform_sql
 from lumenfit.operators import boost, features as fe, forest, metrics, neural, scale, search, splits
 from lumenfit.operators.common import spread
 from lumenfit.operators.ensemble import predict_as
@@ -271,6 +273,61 @@ def rf_importances(spark, sf):
     return forest.select_k(tables.read_importances(spark, path))
 
 
+@query("importance_ranks", on_cal(
+    f"select {len(FEATURES)}::bigint as n, 1e0 as total, {sum(range(1, len(FEATURES) + 1))}::bigint as ranks, true as falling, "
+    "true as smallest_k, count(*) as n_rows from cal"))
+def importance_ranks(spark, sf):
+    """What must hold of any importances: they add up to one, ranks are complete and fall, and k is the smallest that reaches 95 %."""
+    df = model_frame(spark, sf)
+    model = forest.forest(numTrees=TREES, maxDepth=DEPTH).fit(_train(df))
+    top = forest.select_k(forest.importances(model, FEATURES, spark))
+    steps = top.withColumn("before", F.col("cumulative") - F.col("importance"))
+    out = steps.agg(
+        F.count(F.lit(1)).alias("n"), rnd(F.sum("importance")).alias("total"), F.sum("rank").cast("bigint").alias("ranks"),
+        (F.max_by("importance", "rank") == F.min("importance")).alias("falling"),
+        F.bool_and(F.col("selected") == (F.col("before") < 0.95)).alias("smallest_k"),
+    )
+    return out.withColumn("n_rows", F.lit(df.count()))
+
+
+def _two_leaves(spark, sf):
+    df = cal(spark, sf).selectExpr("idx", "flux", "cast(pix5 > pix1 as double) as x")
+    return VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+
+
+_LEAF_MEANS = on_cal(
+    "select idx, " + sql_rnd("avg(flux) over (partition by pix5 > pix1)", 9) + " as prediction from cal")
+
+
+_BAGS = [
+    "trees as (select unnest(range(5)) as tree)",
+    f"draws as (select idx, tree, flux, pix5 > pix1 as x, {uniform_sql('42', 'idx', 'tree')} as u from cal, trees)",
+    f"bags as (select idx, tree, flux, x, {poisson1_sql('u')} as w from draws)",
+    "leaves as (select idx, flux, w, sum(w * flux) over (partition by tree, x) / sum(w) over (partition by tree, x) as p from bags)",
+    "forest as (select idx, any_value(flux) as flux, avg(p) as prediction, avg(p) filter (w = 0) as oob from leaves group by idx)",
+]
+
+
+@query("bagged_two_leaves", on_cal(
+    "select idx, " + sql_rnd("prediction", 9) + " as prediction, r2 as oob_r2 from forest, (select "
+    + sql_rnd("1e0 - sum((flux-oob)*(flux-oob))/(var_pop(flux)*count(*))", 7) + " as r2 from forest where oob is not null)",
+    *_BAGS))
+def bagged_two_leaves(spark, sf):
+    """Bagged trees on a yes-or-no feature: weighted leaf means, and R2 over the trees that did not see a row."""
+    df = _two_leaves(spark, sf)
+    model = forest.OOBForest(numTrees=5, maxDepth=1).fit(df)
+    out = rounded(model.transform(df), ["prediction"], 9)
+    return out.withColumn("oob_r2", rnd(F.lit(model.oob_score_), 7))
+
+
+@query("boosting_one_round", _LEAF_MEANS)
+def boosting_one_round(spark, sf):
+    """The first round of squared-loss boosting does the same."""
+    df = _two_leaves(spark, sf)
+    model = boost.fit_boosted(df, rounds=1, maxDepth=1)
+    return rounded(predict_as(model, df, "prediction"), ["prediction"], 9)
+
+
 @query("oob_score")
 def oob_score(spark, sf):
     df = model_frame(spark, sf)
@@ -378,6 +435,36 @@ def _net_report(spark, model, df):
     return tables.read_history(spark, path)
 
 
+_STEP = {"kind": "dense", "n_in": 1, "hidden": [1], "activation": "tanh", "dropout": 0.0, "batch_norm": False, "l1": 0.0,
+         "l2": 0.0, "loss": "mse"}
+
+
+def _one_step_sql(lr: float) -> str:
+    """A one-unit network after one full-gradient Adam step, whose first move is ``lr * g / (|g| + eps)``, as SQL."""
+    start = {k: float(b.ravel()[0]) for k, b in kernels.unpack(_STEP, kernels.initial(_STEP, 42)).items()}
+    w0, b0, w1, b1 = (f"({start[k]!r}e0)" for k in ("w0", "b0", "w1", "b1"))
+    moved = {
+        k: f"({v} - {lr!r}e0 * {g} / (abs({g}) + 1e-8))" for k, v, g in
+        (("w0", w0, "gw0"), ("b0", b0, "gb0"), ("w1", w1, "gw1"), ("b1", b1, "gb1"))
+    }
+    return on_cal(
+        "select idx, " + sql_rnd(f"{moved['w1']} * tanh({moved['w0']} * x + {moved['b0']}) + {moved['b1']}", 6)
+        + " as prediction from rows1, g",
+        "rows1 as (select idx, xpos - 145e-1 as x, flux as y from cal)",
+        f"f as (select x, tanh({w0} * x + {b0}) as a, {w1} * tanh({w0} * x + {b0}) + {b1} - y as d from rows1)",
+        f"g as (select avg(d * {w1} * (1e0 - a * a) * x) as gw0, avg(d * {w1} * (1e0 - a * a)) as gb0, avg(d * a) as gw1, "
+        "avg(d) as gb1 from f)",
+    )
+
+
+@query("network_sync_step", _one_step_sql(0.05))
+def network_sync_step(spark, sf):
+    """One full-gradient step of a small network from fixed weights."""
+    df = cal(spark, sf).selectExpr("idx", "flux", "array(xpos - 145e-1) as features")
+    est = neural.DenseRegressor(hidden=[1], activation="tanh", dropout=0.0, epochs=1, lr=0.05, mode="sync", seed=42)
+    return rounded(est.fit(df).transform(df), ["prediction"], 6)
+
+
 @query("nalu_fit")
 def nalu_fit(spark, sf):
     """Epoch history of a one-layer arithmetic network."""

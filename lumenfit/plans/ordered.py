@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfit.operators import features as fe
 from lumenfit.operators import forest, index, splits
 from lumenfit.plans.cal import FEATURES, FILE_KEY, cal
+from lumenfit.functions.hashing import poisson1_sql, uniform_sql
 from lumenfit.plans.registry import on_cal, query, rnd, rounded, sql_rnd, sql_rounded
 from lumenfit.sources import runs
 
@@ -120,13 +121,16 @@ def batch_assign(spark, sf):
 
 
 @query("batch_sample", on_cal(
-    "select batch, 50 as n, true as known from (select unnest(range(count(*) // 50)) as batch from cal)"))
+    "select batch, slot, idx, " + sql_rnd("flux", 9) + " as flux from draws join numbered using (pos)",
+    "numbered as (select idx, flux, row_number() over (order by idx) - 1 as pos, count(*) over () as n from cal)",
+    "ids as (select unnest(range((n // 50) * 50)) as id, n from (select count(*) as n from cal))",
+    f"draws as (select id // 50 as batch, id % 50 as slot, cast(floor({uniform_sql('42', '1', 'id')} * n) as bigint) as pos "
+    "from ids)"))
 def batch_sample(spark, sf):
+    """Batches drawn with replacement; every draw is a digest that SQL repeats."""
     df = cal(spark, sf)
     drawn = splits.sample_batches(df, df.count() // 50, 50, epoch=1)
-    return drawn.groupBy("batch").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), (F.count("flux") == 50).alias("known")
-    )
+    return drawn.select("batch", "slot", "idx", rnd("flux", 9).alias("flux"))
 
 
 _RANK = "h as (select idx, row_number() over (order by md5(idx || ':42')) as r, count(*) over () as n from cal)"
@@ -161,14 +165,18 @@ def folds_10(spark, sf):
 
 
 @query("bootstrap_weights", on_cal(
-    "select tree, count(*) as n, true as mean_one, true as a_third_out from cal, "
-    "(select unnest(range(8)) as tree) group by tree"))
+    "select tree, count(*) as n, sum(w)::bigint as total, sum(w * idx)::bigint as weighted, "
+    "count(*) filter (w = 0) as out_of_bag, max(w)::int as most from w group by tree",
+    "trees as (select unnest(range(8)) as tree)",
+    f"w as (select tree, idx, {poisson1_sql('u')} as w from (select tree, idx, {uniform_sql('42', 'idx', 'tree')} as u "
+    "from cal, trees))"))
 def bootstrap_weights(spark, sf):
-    w = splits.bootstrap_weights(cal(spark, sf), n_trees=8).select(F.posexplode("w").alias("tree", "w"))
+    """How often each tree draws the rows; every draw is a digest that SQL repeats."""
+    w = splits.bootstrap_weights(cal(spark, sf), n_trees=8).select("idx", F.posexplode("w").alias("tree", "w"))
     return w.groupBy(F.col("tree").cast("bigint").alias("tree")).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.abs(F.avg("w") - 1.0) < 0.1).alias("mean_one"),
-        (F.abs(F.avg((F.col("w") == 0).cast("double")) - 0.36788) < 0.05).alias("a_third_out"),
+        F.count(F.lit(1)).alias("n"), F.sum("w").cast("bigint").alias("total"),
+        F.sum(F.col("w") * F.col("idx")).cast("bigint").alias("weighted"), F.count_if(F.col("w") == 0).alias("out_of_bag"),
+        F.max("w").cast("int").alias("most"),
     )
 
 

@@ -249,6 +249,22 @@ def ica(spark, sf):
     return _cov_of(model.transform(df), "sources", len(FEATURES))
 
 
+_SOURCES = {"even": "((idx * 7919) % 1009) / 1009e0", "squared": "pow((idx % 97) / 97e0, 2)", "two": "(idx div 3) % 2 * 1e0"}
+
+
+@query("ica_known_mix", "select unnest(['even', 'squared', 'two']) as source, 1e0 as recovered, count(*) as n from events")
+def ica_known_mix(spark, sf):
+    """Three known sources, mixed: the correlation of each with the component that recovers it."""
+    df = cal(spark, sf).selectExpr("idx", *[f"{e} as {c}" for c, e in _SOURCES.items()])
+    mixed = df.selectExpr("*", "2*even + squared - two as m1", "even - 3*squared + two as m2", "even + squared + 2*two as m3")
+    packed = VectorAssembler(inputCols=["m1", "m2", "m3"], outputCol="features").transform(mixed)
+    out = decompose.SymmetricICA().fit(packed).transform(packed).withColumn("s", vector_to_array("sources"))
+    pairs = [F.abs(F.corr(c, F.col("s")[k])) for c in _SOURCES for k in range(3)]
+    cells = F.array(*[F.struct(F.lit(c).alias("source"), F.round(F.greatest(*pairs[3 * i: 3 * i + 3]), 1).alias("recovered"))
+                      for i, c in enumerate(_SOURCES)])
+    return out.agg(cells.alias("c"), F.count(F.lit(1)).alias("n")).select(F.explode("c").alias("c"), "n").select("c.*", "n")
+
+
 @query("ica_kurtosis")
 def ica_kurtosis(spark, sf):
     """How far from normal each recovered component is."""
@@ -261,7 +277,9 @@ def ica_kurtosis(spark, sf):
     )
 
 
-@query("pipeline_header")
+@query("pipeline_header", on_cal(
+    f"select header, {len(FEATURES)} as width, n from (select unnest(['STD_SS', 'STD_SS_PCA', 'STD_SS_PCA_MM', 'STD_MM']) "
+    "as header), (select count(*) as n from cal)"))
 def pipeline_header(spark, sf):
     """Flag combinations with the header each records and the output width it produces on the table."""
     df = cal(spark, sf)
