@@ -77,7 +77,7 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: s
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
-BROADCAST_ROWS = 1_000_000  # rows of a key and a number or two: some tens of MB
+BROADCAST_ROWS = 500_000  # rows of a few short columns: some tens of MB
 
 
 def few(rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
