@@ -185,26 +185,26 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
                 spec.get("batch_norm") or spec.get("dropout")
             ):
                 raise ValueError("sync mode takes full-gradient steps: no dropout, no batch normalisation")
-            flat = start.flat() if start else kernels.initial(spec, self.getSeed())
-            return self._epochs(data, spec, flat, float(head[1]))
+            flat = start.final() if start else kernels.initial(spec, self.getSeed())
+            return self._epochs(data, spec, flat, float(head[1]), start)
         finally:
             data.unpersist()
 
-    def _epochs(self, data: DataFrame, spec: dict, flat, shift: float) -> "NetworkModel":
+    def _epochs(self, data: DataFrame, spec: dict, flat, shift: float, start: "NetworkModel | None") -> "NetworkModel":
         mode, epochs = self.getOrDefault(self.mode), self.getOrDefault(self.epochs)
         lr, n = self.getOrDefault(self.lr), len(flat)
-        m, v, t = np.zeros(n), np.zeros(n), 0.0
+        done, m, v, t = start.state() if start else (0, np.zeros(n), np.zeros(n), 0.0)
         history, best, tasks = [], (-math.inf, None), data.rdd.getNumPartitions()
         for epoch in range(epochs + 1):
             task = _epoch_task(
-                spec, flat, m, v, t, lr, self.getOrDefault(self.batch), self.getSeed(), epoch, mode,
+                spec, flat, m, v, t, lr, self.getOrDefault(self.batch), self.getSeed(), done + epoch, mode,
                 shift, epoch < epochs,
             )
             values = np.array(sum_cells(data.mapInArrow(task, kernels.CELLS), tasks))
             body, trained = values[: -2 * len(_SUMS) - 1], values[-2 * len(_SUMS) - 1]
             scores = _metrics(values[-2 * len(_SUMS):].reshape(2, -1))
             if epoch:
-                history.append({"epoch": epoch - 1, **scores})
+                history.append({"epoch": done + epoch - 1, **scores})
                 r2 = scores["r2_test"]
                 if r2 is not None and r2 >= best[0]:
                     best = (r2, flat.copy())
@@ -216,11 +216,13 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
             else:
                 mean = body / trained
                 flat, m, v, t = mean[:n].copy(), mean[n:2 * n].copy(), mean[2 * n:3 * n].copy(), mean[3 * n]
-        if self.getOrDefault(self.keepBest) and best[1] is not None:
-            flat = best[1]
+        kept = best[1] if self.getOrDefault(self.keepBest) and best[1] is not None else flat
         model = NetworkModel()._set(
             featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
-            specJson=json.dumps(spec), weights=flat.tolist(), historyJson=json.dumps(history),
+            specJson=json.dumps(spec), weights=kept.tolist(), historyJson=json.dumps(history),
+            stateJson=json.dumps({
+                "epochs": done + epochs, "final": flat.tolist(), "m": m.tolist(), "v": v.tolist(), "t": float(t),
+            }),
         )
         return model
 
@@ -243,10 +245,11 @@ class NetworkModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadabl
     specJson = Param(Params._dummy(), "specJson", "network layout", TypeConverters.toString)
     weights = Param(Params._dummy(), "weights", "flat weights", TypeConverters.toListFloat)
     historyJson = Param(Params._dummy(), "historyJson", "scores per epoch", TypeConverters.toString)
+    stateJson = Param(Params._dummy(), "stateJson", "final weights and the optimiser's state", TypeConverters.toString)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(featuresCol="features", predictionCol="prediction", historyJson="[]")
+        self._setDefault(featuresCol="features", predictionCol="prediction", historyJson="[]", stateJson="{}")
 
     def spec(self) -> dict:
         return json.loads(self.getOrDefault(self.specJson))
@@ -254,6 +257,18 @@ class NetworkModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadabl
     def flat(self) -> np.ndarray:
         return np.array(self.getOrDefault(self.weights))
 
+    def final(self) -> np.ndarray:
+        """The weights after the last epoch, where scoring may use those of the best epoch."""
+        state = json.loads(self.getOrDefault(self.stateJson))
+        return np.array(state["final"]) if state else self.flat()
+
+    def state(self) -> tuple[int, np.ndarray, np.ndarray, float]:
+        """Epochs done and the optimiser's moments and step count, zero where the model was stored without."""
+        state, n = json.loads(self.getOrDefault(self.stateJson)), len(self.flat())
+        if not state:
+            return 0, np.zeros(n), np.zeros(n), 0.0
+        return state["epochs"], np.array(state["m"]), np.array(state["v"]), state["t"]
+
     def blocks(self) -> dict:
         """Weights by block name."""
         return kernels.unpack(self.spec(), self.flat())
@@ -309,7 +324,7 @@ class DenseRegressor(Estimator, _NetParams):
         return self._train(df)
 
     def resume(self, model: NetworkModel, df: DataFrame) -> NetworkModel:
-        """R-14: continue from a trained model's weights."""
+        """R-14: continue from a trained model's final weights and optimiser state, as if it had never stopped."""
         return self._train(df, model)
 
 
@@ -338,7 +353,7 @@ class NALURegressor(Estimator, _NetParams):
         return self._train(df)
 
     def resume(self, model: NetworkModel, df: DataFrame) -> NetworkModel:
-        """R-14: continue from a trained model's weights."""
+        """R-14: continue from a trained model's final weights and optimiser state, as if it had never stopped."""
         return self._train(df, model)
 
 

@@ -511,6 +511,20 @@ def network_resume(spark, sf):
     return both
 
 
+@query("network_resume_exact", on_cal("select count(*) as n, 4 as epochs, 0e0 as max_change from cal"))
+def network_resume_exact(spark, sf):
+    """Two epochs, stored, loaded and resumed for two more: the same network as after four."""
+    df = _scaled_frame(spark, sf)
+    args = dict(featuresCol="x", splitCol="split", lr=0.01, hidden=[8], dropout=0.2)
+    path = scratch_path(spark, "network")
+    models.save(neural.DenseRegressor(epochs=2, **args).fit(df), path)
+    resumed = neural.DenseRegressor(epochs=2, **args).resume(models.load(path, spark), df)
+    whole = neural.DenseRegressor(epochs=4, **args).fit(df)
+    both = predict_as(resumed, predict_as(whole, df, "a"), "b")
+    out = both.agg(F.count("b").alias("n"), rnd(F.max(F.abs(F.col("a") - F.col("b")))).alias("max_change"))
+    return out.withColumn("epochs", F.lit(resumed.state()[0]))
+
+
 @query("network_approaches")
 def network_approaches(spark, sf):
     """Every activation on the same split, one report row each."""

@@ -242,6 +242,16 @@ def checkpoint_parse(spark, sf):
     return runs.parse_checkpoint(_checkpoints(spark, sf)).drop("path", "user_id")
 
 
+@query("checkpoint_compose", f"with {_C} select event_id, try_cast(ep as int) as epoch, ep = '_FINAL' as is_final, "
+       "cast(loss as double) as loss, cast(acc as double) as accuracy, cast(br2 as double) as batch_r2, "
+       "cast(tr2 as double) as test_r2 from c")
+def checkpoint_compose(spark, sf):
+    """File names composed from epochs and scores carry them through a reading back."""
+    known = runs.parse_checkpoint(_checkpoints(spark, sf)).drop("path", "is_final")
+    named = runs.compose_checkpoint(known, F.concat(F.lit("saves_"), F.col("user_id").cast("string"), F.lit("/")))
+    return runs.parse_checkpoint(named.select("event_id", "path")).drop("path")
+
+
 @query("best_checkpoint", f"with {_C} select user_id, path as best_path, cast(tr2 as double) as best_test_r2 from "
        "(select *, row_number() over (partition by user_id order by cast(tr2 as double) desc, path desc) as r from c)"
        " where r = 1")

@@ -61,6 +61,18 @@ def parse_run(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumns(out)
 
 
+def compose_checkpoint(df: DataFrame, run: Column | str = "", name: str = "path") -> DataFrame:
+    """The file name of a checkpoint under its run's path, from ``epoch`` (null: the final one) and the score columns.
+
+    :func:`parse_checkpoint` reads the same numbers back.
+    """
+    head = F.lit(run) if isinstance(run, str) else run
+    epoch = F.coalesce(F.col("epoch").cast("int").cast("string"), F.lit("_FINAL"))
+    scores = [F.lit("_l"), "loss", F.lit("_a"), "accuracy", F.lit("_BatchR2-"), "batch_r2", F.lit("_TestR2-"), "test_r2"]
+    parts = [F.col(p).cast("double").cast("string") if isinstance(p, str) else p for p in scores]
+    return df.withColumn(name, F.concat(head, F.lit("model_epoch"), epoch, *parts, F.lit(".ckpt")))
+
+
 def parse_checkpoint(df: DataFrame, path: str = "path") -> DataFrame:
     """M-3: epoch (null for the final one) and scores from a checkpoint's file name."""
     out = {"epoch": _found(F.col(path), r"model_epoch([0-9]+)_").cast("int")}
