@@ -85,9 +85,18 @@ def few(rows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= bound else rows
 
 
-def write_bucketed(rows: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
-    """The rows stored under ``path``, one sorted file per bucket of the keys; joins on the keys need no shuffle."""
+def write_bucketed(rows: DataFrame, path: str, keys: list[str], buckets: int) -> tuple[str, DataFrame]:
+    """The rows stored under ``path``, one sorted file per bucket of the keys; joins on the keys need no shuffle.
+
+    The catalogue knows them by the name that comes back first, until :func:`forget`; the files stay.
+    """
     name = f"bucketed_{uuid.uuid4().hex}"
     dealt = rows.repartition(buckets, *keys)
     dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
-    return rows.sparkSession.table(name)
+    return name, rows.sparkSession.table(name)
+
+
+def forget(spark: SparkSession, names: list[str]) -> None:
+    """Remove stored tables' names from the catalogue."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfit.llm.common import ascii_lower, documents, few, with_group, write_bucketed, write_scratch
+from lumenfit.llm.common import ascii_lower, documents, few, forget, with_group, write_bucketed, write_scratch
 from lumenfit.llm.registry import query
 from lumenfit.session import scratch_path
 
@@ -55,6 +55,7 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = []
         self.written = 0
+        self.names: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for _, run in level]
@@ -62,7 +63,14 @@ class LineRuns:
     def _store(self, rows: DataFrame, level: int) -> tuple[str, DataFrame]:
         self.written += 1
         path = f"{self.path}/level-{level}-run-{self.written}"
-        return path, write_bucketed(rows, path, HASH, self.buckets)
+        name, run = write_bucketed(rows, path, HASH, self.buckets)
+        self.names.append(name)
+        return path, run
+
+    def close(self) -> None:
+        """Forget the runs' names; their files stay."""
+        forget(self.spark, self.names)
+        self.names = []
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """The keys that no run holds: one merge-anti-join per run, all on the same buckets."""
@@ -118,10 +126,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     keys = lines.groupBy(*HASH, batch.alias("batch")).agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
     path = scratch_path(spark, "line-runs")
     runs = LineRuns(spark, path)
-    dealt = write_bucketed(keys, f"{path}/batches", HASH, runs.buckets)
+    name, dealt = write_bucketed(keys, f"{path}/batches", HASH, runs.buckets)
     for b in range(batches):
         runs.add(dealt.where(F.col("batch") == b).drop("batch"))
     repeated = write_scratch(runs.merged().where(F.col("n") >= min_docs).select(*HASH, "n", "holder"), "repeated-lines")
+    runs.close()
+    forget(spark, [name])
     marked = few(repeated)
     hit = lines.join(marked, HASH) if marked is not repeated else with_group(lines, repeated, HASH, "n", total)
     gone = hit.where(~F.col("doc_id").eqNullSafe(F.col("holder")))
