@@ -5,17 +5,19 @@ from __future__ import annotations
 import itertools
 import time
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Estimator
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfit.operators.ensemble import predict_as
 from lumenfit.operators.forest import approach
-from lumenfit.operators.metrics import fit_report, r2_expr
+from lumenfit.operators.metrics import chi_expr, fit_report, r2_expr
 from lumenfit.operators.splits import hash_folds, hash_split
 from lumenfit.session import ensure_checkpoint_dir
+from lumenfit.sources import models, runs
 
 # The boosted-tree search space.
 BOOST_GRID = {
@@ -39,6 +41,28 @@ def grid(**lists) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*lists.values())]
 
 
+def rescore(spark: SparkSession, root: str, path: str, df: DataFrame, y="flux", err="fluxerr", key="idx") -> DataFrame:
+    """A stored run scored again from its path: one row of R2 and chi-square on the split the path describes.
+
+    Share and seed of the split come from the path, the model is loaded from ``root/path`` and never refitted. A run that
+    was stored without them is an error.
+    """
+    config = runs.parse_run(spark.createDataFrame([(path,)], "path string")).first()
+    if config["test_size"] is None or config["random_state"] is None:
+        raise ValueError(f"{path}: no test size or random state")
+    rows = hash_split(df, key, config["test_size"], config["random_state"])
+    scored = models.load(f"{root.rstrip('/')}/{path.strip('/')}", spark).transform(rows)
+    off = chi_expr(y, "prediction", err)
+    parts = [F.sum(F.when(F.col("split") == part, off)).alias(f"chisq_{part}") for part in ("train", "test")]
+    whole = scored.withColumn("path", F.lit(path))
+    return fit_report(whole, y, err=err, by="path").join(whole.groupBy("path").agg(*parts), "path")
+
+
+def rescore_all(spark: SparkSession, root: str, paths: list[str], df: DataFrame, **columns) -> DataFrame:
+    """:func:`rescore` of every run of a registry, one row each."""
+    return reduce(DataFrame.unionByName, [rescore(spark, root, p, df, **columns) for p in paths])
+
+
 def _params(estimator: Estimator, chosen: dict) -> dict:
     return {estimator.getParam(k): v for k, v in chosen.items()}
 

@@ -153,6 +153,52 @@ def save_if_absent(spark, sf):
     )
 
 
+_RUNS = {"saves_nnl1_nnn0_nc1_bs32_lr0.001_ne1_ts0.75_rs42_PP1_PCA0/": ("75e-2", "42"),
+         "saves_nnl1_nnn0_nc1_bs32_lr0.001_ne1_ts0.25_rs7_PP1_PCA0/": ("25e-2", "7")}
+
+
+def _rescored_sql(runs: list[str]) -> str:
+    ctes, rows = [], []
+    for i, run in enumerate(runs):
+        share, seed = _RUNS[run]
+        ctes.append(
+            f"s{i} as (select y, prediction, fluxerr, row_number() over (order by md5(idx || ':{seed}')) "
+            f"<= ceil({share} * count(*) over ()) as test from fit)")
+        scores = {}
+        for part, on in (("train", "not test"), ("test", "test")):
+            scores[f"{part}_r2_pct"] = (f"1e2 * (1e0 - sum((y-prediction)*(y-prediction)) filter ({on}) / "
+                                        f"(var_pop(y) filter ({on}) * count(*) filter ({on})))")
+            scores[f"chisq_{part}"] = f"sum((y-prediction)*(y-prediction)/(fluxerr*fluxerr)) filter ({on})"
+        rows.append(f"select '{run}' as path, count(*) filter (not test) as n_train, count(*) filter (test) as n_test, "
+                    f"{sql_rounded(scores, 4)} from s{i}")
+    return on_cal(" union all ".join(rows), MED, _NORM, *_least_squares({**_TIME, **_PIX}, "flux", "nrm", "fluxerr,"), *ctes)
+
+
+def _stored_runs(spark, sf, names) -> str:
+    root, model = scratch_path(spark, "runs"), _pixel_pipeline(spark, sf)
+    for name in names:
+        models.save(model, f"{root}/{name.strip('/')}")
+    return root
+
+
+def _rescored(df):
+    return rounded(df, ["train_r2_pct", "test_r2_pct", "chisq_train", "chisq_test"], 4, keep=("path", "n_train", "n_test"))
+
+
+@query("run_rescore", _rescored_sql([*_RUNS][:1]))
+def run_rescore(spark, sf):
+    """A stored run scored again from its path: the split is drawn anew from the share and seed in the name."""
+    run = [*_RUNS][0]
+    df = cal(spark, sf)
+    return _rescored(search.rescore(spark, _stored_runs(spark, sf, [run]), run, df))
+
+
+@query("runs_chisq", _rescored_sql([*_RUNS]))
+def runs_chisq(spark, sf):
+    """Scores of every run of a registry."""
+    return _rescored(search.rescore_all(spark, _stored_runs(spark, sf, _RUNS), [*_RUNS], cal(spark, sf)))
+
+
 @query("split_saved", on_cal(
     "select split, count(*) as n from (select case when r <= ceil(25e-2*n) then 'test' else 'train' end as split "
     "from (select row_number() over (order by md5(idx || ':42')) as r, count(*) over () as n from cal)) "
