@@ -28,7 +28,7 @@ from lumenfit.llm.registry import query
 BITS = 20  # buckets of n-grams: 2^20 weights, 4 MB
 ORDERS = (3, 4, 5)
 SAMPLE_ROWS = 4_000  # labelled documents of each class used for fitting
-FEATURES = 30_000  # buckets that get a weight
+FEATURES = 30_000  # buckets that get a weight, fewer than 2^16
 LEAST_DOCS = 4  # sampled documents that hold such a bucket
 ROUNDS, PENALTY = 150, 3e-4
 
@@ -116,12 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
         grams = _Grams()
         for b in batches:
             own = [shared.value[grams(t)] for t in b.column(1).to_pylist()]
-            packed = [x[x >= 0].astype("<i4").tobytes() for x in own]
+            packed = [x[x >= 0].astype("<u2").tobytes() for x in own]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["label", "features"])
 
     rows = spread.mapInArrow(describe, "label int, features binary").orderBy("label", "features").toArrow()
     label = rows.column("label").to_numpy().astype(np.float64)
-    packed = [np.frombuffer(x, "<i4") for x in rows.column("features").to_pylist()]
+    packed = rows.column("features").combine_chunks()  # two bytes a feature: some tens of MB
     # Classes weigh as in all labels, not as in the sample.
     weight = np.where(label == 1, totals[1] / sizes[1], totals[0] / sizes[0])
     coef, bias = _logistic(packed, scale, label, weight / weight.sum())
@@ -130,18 +130,29 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     return LinearModel(weights, bias)
 
 
-def _logistic(rows: list[np.ndarray], scale: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression over scaled presences, by full-gradient steps with adaptive rates."""
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    at = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+CHUNK = 256  # documents whose features are expanded at a time
+
+
+def _logistic(packed: pa.BinaryArray, scale: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression over scaled presences, by full-gradient steps with adaptive rates.
+
+    The features stay packed as two-byte numbers; a few hundred documents are worked on at a time.
+    """
+    ends = np.r_[0, np.cumsum(np.fromiter((len(x.as_buffer()) // 2 for x in packed), np.int64, len(packed)))]
+    at = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in packed])
+    parts = [(i, min(i + CHUNK, len(label))) for i in range(0, len(label), CHUNK)]
     coef, bias = np.zeros(len(scale)), float(np.log((weight @ label) / (weight @ (1 - label))))
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for step in range(1, ROUNDS + 1):
-        margin = np.bincount(owner, weights=(coef * scale)[at], minlength=len(rows)) + bias
-        slack = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label)
-        gradient = np.bincount(at, weights=slack[owner], minlength=len(scale)) * scale + PENALTY * coef
-        g = np.r_[gradient, slack.sum()]
+        g = np.r_[PENALTY * coef, 0.0]
+        effect = coef * scale
+        for first, last in parts:
+            own = at[ends[first] : ends[last]]
+            owner = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+            margin = np.bincount(owner, weights=effect[own], minlength=last - first) + bias
+            slack = weight[first:last] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label[first:last])
+            g[:-1] += np.bincount(own, weights=slack[owner], minlength=len(scale)) * scale
+            g[-1] += slack.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9) * (1 - step / (ROUNDS + 1))
         coef, bias = coef - move[:-1], bias - float(move[-1])
