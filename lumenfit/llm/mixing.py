@@ -91,9 +91,10 @@ def source_ranks(rows: DataFrame, seed: int, total: int, bucket_rows: int = BUCK
     """``source, id, rank``: the place (from 0) of each distinct ``source, id`` in its source's hashed order.
 
     The order is cut into ranges of the hash, so that a window gets a share of a source's rows, however many it has; the
-    sizes of the ranges before give the offset.
+    sizes of the ranges before give the offset. There are at least as many ranges as shuffle partitions, so that one hot
+    source spreads over all of them.
     """
-    ranges = max(1, -(-total // bucket_rows))
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_rows))
     head = F.conv(F.substring(_draw(F.col("id"), seed), 1, 8), 16, 10).cast("bigint")
     dealt = rows.withColumn("draw", _draw(F.col("id"), seed)).withColumn("range", ((head * ranges) / F.lit(1 << 32)).cast("int"))
     sizes = dealt.groupBy("source", "range").agg(F.count("*").alias("size"))
