@@ -33,7 +33,8 @@ from lumenfit.llm.registry import query
 BITS, SEED = 64, 42
 NODE_ROWS = 20_000  # fingerprints under one trie node that a single task walks
 LEAF_PAIRS = 64  # node pairs with at most so many fingerprint pairs are compared directly
-FRONT = 1 << 18  # node pairs walked at a time
+FRONT = 1 << 16  # node pairs walked at a time
+COMPARED = 1 << 19  # fingerprint pairs compared at a time: some 30 MB
 STEP = 8  # bits by which a full node is walked further in Spark
 
 _HALF = np.arange(BITS, dtype=np.uint64)
@@ -210,11 +211,11 @@ def _split(keys: np.ndarray, start: np.ndarray, end: np.ndarray, bit: np.ndarray
 
 
 def _compare(keys: np.ndarray, pairs: np.ndarray, budget: int, forest: _Forest) -> None:
-    """Compare every key of one run with every key of the other, some million pairs at a time."""
+    """Compare every key of one run with every key of the other, COMPARED pairs at a time."""
     if not len(pairs):
         return
     counts = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
-    for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(np.cumsum(counts) // 4_000_000)) + 1):
+    for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(np.cumsum(counts) // COMPARED)) + 1):
         p, c = pairs[part], counts[part]
         which = np.repeat(np.arange(len(p)), c)
         at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
