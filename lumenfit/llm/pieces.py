@@ -29,8 +29,8 @@ from lumenfit.llm.registry import query
 
 MARK = "▁"
 NO_RANK = np.int64(1 << 40)
-REMEMBERED = 400_000  # words a worker remembers: some 100 MB
-BLOCK = 4 << 20  # characters of text whose words are encoded together
+REMEMBERED = 200_000  # words a worker remembers: some 50 MB
+BLOCK = 1 << 20  # characters of text whose words are encoded together
 LONG_WORD = 64  # characters of a word that is remembered
 
 
