@@ -40,6 +40,21 @@ STEP = 8  # bits by which a full node is walked further in Spark
 _HALF = np.arange(BITS, dtype=np.uint64)
 
 
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """Hashes of the lower-cased (A-Z) text's word shingles; words are separated by ASCII white space."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return []
+    joined = b" ".join(tokens)
+    if len(tokens) <= words:
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(tokens) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """Of the lower-cased (A-Z) text's word shingles; words are separated by ASCII white space."""
     tokens = (text or "").encode().lower().split()
