@@ -13,7 +13,8 @@ star contraction in Spark.
 
 Defined cases: a null or blank text has no words and fingerprint zero, and links like any other; fewer words than a shingle
 hold are one shingle; repeated rows and equal texts share a fingerprint and so a class; a null id takes part and counts as
-larger than any other; an empty table gives no rows; other columns are not read.
+larger than any other, a class without an id has a null one; rows without an id, or rows that share one, are not linked by
+that; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -301,30 +302,43 @@ def links(fps: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -> DataFr
 def near_duplicates(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text",
                     node_rows: int = NODE_ROWS) -> DataFrame:
     """``doc_id, fp, component_id``: every row with its fingerprint and the smallest id its links reach."""
-    top = (1 << 63) - 1  # stands for a null id
-    prints = write_scratch(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    found = _classes(write_scratch(fingerprints(docs, words, id_col, text_col), "fingerprints"), budget, node_rows)
+    return found.select("doc_id", "fp", "component_id")
+
+
+def _classes(prints: DataFrame, budget: int, node_rows: int = NODE_ROWS) -> DataFrame:
+    """The stored rows ``doc_id, fp`` with ``component_id``. Fingerprints are the nodes, ids only name what they form."""
     distinct = write_scratch(
-        prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(top)).cast("bigint").alias("id"), F.count("*").alias("n")),
-        "distinct-fingerprints",
+        prints.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("id"), F.count("*").alias("n")), "distinct-fingerprints"
     )
-    found = components(links(distinct.select("fp", "id"), budget, node_rows))
-    groups = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "fp", "n", F.coalesce("component", "id").alias("component_id")
+    found = components(links(distinct.select("fp", F.col("fp").alias("id")), budget, node_rows))
+    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "n", "id", F.coalesce("component", "fp").alias("component")
     )
-    out = with_group(prints, write_scratch(groups, "classes"), "fp", "n", prints.count())
-    return out.select("doc_id", "fp", F.nullif(F.col("component_id"), F.lit(top)).alias("component_id"))
+    named = write_scratch(named, "components")
+    sizes = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
+    groups = with_group(named, write_scratch(sizes, "component-ids"), "component", "size", named.count())
+    return with_group(prints, write_scratch(groups.select("fp", "n", "component_id"), "classes"), "fp", "n", prints.count())
 
 
 def one_of_each(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class.
 
     An id names a document: repeated rows of an id stay or go together, and go only if none of them holds its class. Rows
-    without an id stay unless their class has one. Texts are shuffled only if too many ids go for a broadcast.
+    without an id stay unless their class has one; they are known by their texts. Texts are shuffled only if too many rows go
+    for a broadcast.
     """
-    found = near_duplicates(docs, words, budget, id_col, text_col)
-    goes = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.groupBy("doc_id").agg(F.bool_and(goes).alias("goes")).where("goes").select(F.col("doc_id").alias("_gone"))
-    return docs.join(few(write_scratch(gone, "gone")), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    own = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    bare = fingerprints(docs.where(F.col(id_col).isNull()).select(own.alias("own"), text_col), words, "own", text_col)
+    prints = write_scratch(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    found = write_scratch(_classes(prints, budget).select("doc_id", "fp", "component_id"), "found")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    left = found.where("doc_id is null and component_id is not null").select("fp").distinct()
+    gone = ids.where("goes").select(F.col("doc_id").alias("_gone"), F.lit(None).cast("string").alias("_own")).unionByName(
+        bare.withColumnRenamed("doc_id", "_own").join(left, "fp").select(F.lit(None).cast("bigint").alias("_gone"), "_own").distinct()
+    )
+    on = F.col(id_col).eqNullSafe(F.col("_gone")) & own.eqNullSafe(F.col("_own"))
+    return docs.join(few(write_scratch(gone, "gone")), on, "left_anti")
 
 
 @query("op1_simhash_dedup")
