@@ -18,6 +18,7 @@ from llm_reference import classes, simhash64
 NAMES = {
     "op1_simhash_dedup", "op2_line_dedup", "op3_source_mixing", "op4_toxicity", "op5_language_id", "op6_exact_dedup",
     "op7_nearest_neighbours", "op8_token_counts", "op9_quality", "op10_sentencepiece",
+    "op11_embedding_whitening", "op12_merkle_manifest", "op13_secret_scans",
 }
 
 
