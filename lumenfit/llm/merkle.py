@@ -101,16 +101,19 @@ def tops(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def with_paths(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
+def with_paths(levels: list[DataFrame], ends: DataFrame | None = None) -> DataFrame:
     """The lowest level's rows with ``path``, the siblings before and after on every level from their own to the end.
 
-    ``ends`` has ``tree``, the ``path`` that goes on above each tree's last node, and columns to hand down.
+    ``ends`` has ``tree``, the ``path`` that goes on above each tree's last node, and columns to hand down; without it
+    paths end there.
     """
-    handed = [c for c in ends.columns if c not in ("tree", "path")]
+    handed = [c for c in ends.columns if c not in ("tree", "path")] if ends else []
+    nothing = F.array().cast("array<struct<before:binary,after:binary>>")
     above = None
     for depth in range(len(levels) - 1, -1, -1):
         nodes = levels[depth]
-        last = nodes.where("n = 1").join(ends, "tree")
+        last = nodes.where("n = 1")
+        last = last.join(ends, "tree") if ends else last.withColumn("path", nothing)
         found = last.select(*nodes.columns, *handed, "path")
         if above is not None:
             _, before, after = _siblings(nodes)
@@ -159,7 +162,6 @@ def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, changed: dict[st
     ``candidate`` is the leaf of the row with the columns of ``changed`` in place of its own: :func:`fold` it with the path
     to see whether the row still belongs to the root.
     """
-    spark = docs.sparkSession
     leaf = leaf_digest([F.col(c) for c in columns])
     other = leaf_digest([(changed or {}).get(c, F.col(c)) for c in columns])
     tree = F.coalesce(F.concat(F.lit("1"), F.col(source_col).cast("string")), F.lit("0"))  # orders as the source, null first
@@ -168,8 +170,7 @@ def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, changed: dict[st
     sources = write_scratch(with_dense_index(tops(levels).withColumnRenamed("tree", "name"), ["name"], "i"), "merkle-sources")
     forest = climb(sources.select(F.lit("").alias("tree"), "i", F.lit(sources.count()).cast("bigint").alias("n"), "digest", "name"))
     root = tops(forest).first()
-    end = spark.range(1).select(F.lit("").alias("tree"), F.array().cast("array<struct<before:binary,after:binary>>").alias("path"))
-    ends = with_paths(forest, end).select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "path")
+    ends = with_paths(forest).select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "path")
     found = with_paths(levels, write_scratch(ends, "merkle-ends"))
     top = F.lit(root["digest"] if root else None).cast("binary")
     return found.select("doc_id", F.col("digest").alias("leaf"), "subroot", top.alias("root"), "path", "candidate")
