@@ -9,9 +9,10 @@ anti-joins read them without a shuffle.
 
 Keys that at least ``min_docs`` documents hold lose their lines everywhere but in the holder.
 
-Defined cases: a null or empty text is one empty line; a line that repeats within a document counts once; every row counts
-as a document, and rows that share the largest id all keep their lines; rows without an id count, and hold a line only if
-no row with an id has it; an empty table gives no rows; other columns are kept by :func:`without_repeats` and not read else.
+Defined cases: a null or empty text is one empty line; a line that repeats within a document counts once; rows of one id
+count as one document, and if it is a line's largest they all keep it; rows without an id count as one document too, which
+holds a line only if no row with an id has it; ids of any range do; an empty table gives no rows; other columns are kept by
+:func:`without_repeats` and not read else.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from lumenfit.session import scratch_path
 SPACE = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
 BATCHES, FAN_OUT = 4, 3
-_ID, _DROP = "__lost_id", "__lost_lines"  # names that no table is expected to use
+_ID, _TEXT, _DROP = "__lost_id", "__lost_text", "__lost_lines"  # names that no table is expected to use
 
 
 def split_lines(text: Column) -> Column:
@@ -111,19 +112,24 @@ class LineRuns:
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """``doc_id, drop``: for each document that loses lines, the hashes of the keys it loses."""
+    """``doc_id, text_hash, drop``: for each document that loses lines, the hashes of the keys it loses.
+
+    Rows of one id are told apart by a hash of their text, so that those without an id do not gather in one group. What a
+    line loses depends on its key and id alone, so texts that share a hash do no harm.
+    """
     spark = docs.sparkSession
     line = F.filter(split_lines(F.col(text_col)), lambda x: _long(x, min_chars))
     own = F.array_distinct(F.transform(line, lambda x: _hashes(line_key(x))))
-    lines = write_scratch(
-        docs.select(F.col(id_col).alias("doc_id"), F.explode(own).alias("h")).select("doc_id", "h.h1", "h.h2"), "lines"
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.explode(own).alias("h"))
+    lines = write_scratch(slim.select("doc_id", "text_hash", "h.h1", "h.h2"), "lines")
+    shares = [k / batches for k in range(1, batches)] or [0.5]
+    edges, total = lines.agg(F.percentile_approx("doc_id", shares, 1_000), F.count("*")).first()
+    below = [(F.col("doc_id") < F.lit(edge)).cast("int") for edge in set(edges or [])] if batches > 1 else []
+    batch = F.coalesce(reduce(lambda a, b: a + b, below, F.lit(0)), F.lit(batches - 1))
+    held = lines.groupBy(*HASH, batch.alias("batch"))
+    keys = held.agg(  # null ids are one document
+        (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("n"), F.max("doc_id").alias("holder")
     )
-    low, high, total = lines.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    batch = F.lit(batches - 1)
-    if high is not None:
-        width = (high - low) // batches + 1
-        batch = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / width).cast("int"), F.lit(batches - 1))
-    keys = lines.groupBy(*HASH, batch.alias("batch")).agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
     path = scratch_path(spark, "line-runs")
     runs = LineRuns(spark, path)
     name, dealt = write_bucketed(keys, f"{path}/batches", HASH, runs.buckets)
@@ -135,16 +141,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     marked = few(repeated)
     hit = lines.join(marked, HASH) if marked is not repeated else with_group(lines, repeated, HASH, "n", total)
     gone = hit.where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("drop"))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(*HASH)).alias("drop"))
 
 
 def _with_kept(docs: DataFrame, min_chars: int, min_docs: int, batches: int, id_col: str, text_col: str) -> DataFrame:
     """The rows with ``_DROP``, the hashes their lines lose (null: none)."""
     drops = write_scratch(repeated_lines(docs, min_chars, min_docs, batches, id_col, text_col), "lost-lines")
     size = drops.agg(F.coalesce(F.sum(F.size("drop") + 4), F.lit(0))).first()[0]  # 16 bytes each
-    drops = drops.select(F.col("doc_id").alias(_ID), F.col("drop").alias(_DROP))
+    drops = drops.select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_TEXT), F.col("drop").alias(_DROP))
     side = F.broadcast(drops) if size <= 2_000_000 else drops
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col(_ID)), "left").drop(_ID)
+    same = F.col(id_col).eqNullSafe(F.col(_ID)) & (F.xxhash64(text_col) == F.col(_TEXT))
+    return docs.join(side, same, "left").drop(_ID, _TEXT)
 
 
 def _kept(text: Column, min_chars: int) -> Column:
@@ -180,19 +187,20 @@ def without_repeats(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bat
 
 
 @query("op2_line_dedup", """
-with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+with d as (select row_number() over () as rid, doc_id, text from documents),
+l as (
+  select rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from d),
 k as (
   select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
 r as (
   select key, max(doc_id) as holder from (select distinct doc_id, key from k where length(key) >= 40)
   group by key having count(*) >= 5),
-j as (select k.*, r.key is not null and doc_id <> holder as gone from k left join r using (key))
+j as (select k.*, r.key is not null and doc_id is distinct from holder as gone from k left join r using (key))
 select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
-from j group by doc_id""")
+from j group by rid, doc_id""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_report(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
