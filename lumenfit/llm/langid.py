@@ -82,44 +82,41 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Counts from at most about ``sample_rows`` labelled documents of each language.
+    """Counts of n-grams from at most about ``sample_rows`` labelled documents of each language, the prior from all of them.
 
     The driver receives at most one number for each bucket and language.
     """
     ship_code(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = hash_sample(labelled.where("lang is not null and text is not null"), "id", sample_rows, by="lang")
+    labelled = labelled.where("lang is not null and text is not null")
+    shares = dict(labelled.groupBy("lang").count().collect())
+    sample = hash_sample(labelled, "id", sample_rows, by="lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for b in batches:
             by_lang: dict[str, list[str]] = {}
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(t)
             for lang, texts in by_lang.items():
                 total = sums.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                rows[lang] = rows.get(lang, 0) + len(texts)
                 for _, part in _blocks(texts):
                     for bucket, _ in _grams(part)[1]:
                         total += np.bincount(bucket, minlength=1 << BITS)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1)), pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows[lang], total[at]])],
-                ["lang", "bucket", "n"])
+                [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(run, "lang string, bucket int, n bigint")
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = tuple(sorted(set(sums.column("lang").to_pylist())))
+    langs = tuple(sorted(shares))
     if not langs:
         return LanguageModel((), np.zeros(0), np.zeros((1 << BITS, 0)))
-    lang = np.searchsorted(np.array(langs), np.array(sums.column("lang").to_pylist()))
-    bucket, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
     counts = np.zeros((1 << BITS, len(langs)))
-    counts[bucket[bucket >= 0], lang[bucket >= 0]] = n[bucket >= 0]
-    prior = np.zeros(len(langs))
-    prior[lang[bucket < 0]] = n[bucket < 0]
+    lang = np.searchsorted(np.array(langs), np.array(sums.column("lang").to_pylist(), dtype=np.array(langs).dtype))
+    counts[sums.column("bucket").to_numpy(), lang] = sums.column("n").to_numpy()
+    prior = np.array([shares[x] for x in langs], dtype=float)
     log_prob = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * (1 << BITS))
     return LanguageModel(langs, np.log(prior / prior.sum()), log_prob)
 
