@@ -6,7 +6,8 @@ units over all chunks are combined into one probability. A filter over one-hot b
 table per tap.
 
 The network is trained on the driver on a bounded sample of labelled documents, with classes of equal size that are weighted
-back to their shares. Texts longer than a bound are not used for training; they are scored whole.
+back to their shares. Sampled texts are learned from whole, a slice at a time; where they have more bytes than a bound, fewer
+of them are drawn, whatever their length.
 
 Defined cases: a null or empty text is one chunk of padding and has a score; texts of any length are scored whole, a slice at
 a time; of a document labelled more than once the largest label counts; null labels are not used; without labels of both
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfit.llm.common import documents, held_out, ship_code
@@ -30,7 +32,7 @@ from lumenfit.llm.toxicity import labelled_sample
 
 TAPS, FILTERS, HIDDEN, HALF = 6, 24, 12, 64  # a chunk is two halves: 128 bytes
 SAMPLE_ROWS = 1_200  # labelled documents of each class
-SAMPLE_BYTES = 16_384  # of a text used for training: at most 40 MB in all
+SAMPLE_BYTES = 64 << 20  # about the most that their texts have in all
 EPOCHS, RATE, BATCH = 14, 3e-3, 32
 SLICE = 8_192  # halves of a text scored at a time: 512 kB
 
@@ -107,7 +109,9 @@ def score(net: Network, text: str) -> float:
 
 def _gradient(net: Network, codes: np.ndarray, label: int, weight: float, grads: list[np.ndarray]) -> None:
     """Add one document's gradient of the weighted log loss."""
-    halves, at = _half_maxima(net, codes, where=True)
+    parts = [_half_maxima(net, codes[first : first + SLICE * HALF + TAPS - 1], where=True)
+             for first in range(0, len(codes) - TAPS + 1, SLICE * HALF)]
+    halves, at = (np.concatenate(x) for x in zip(*parts))
     pooled, hidden = _chunks(net, halves)
     best = hidden.argmax(axis=0)
     features = np.r_[hidden.mean(axis=0), hidden[best, np.arange(HIDDEN)]]
@@ -131,7 +135,8 @@ def _gradient(net: Network, codes: np.ndarray, label: int, weight: float, grads:
     live = np.flatnonzero(to_filter.ravel())
     place, f, g = place.ravel()[live], f.ravel()[live], to_filter.ravel()[live]
     for tap in range(TAPS):
-        np.add.at(g_table[tap], (codes[place + tap], f), g)
+        cell = codes[place + tap].astype(np.int64) * FILTERS + f
+        g_table[tap] += np.bincount(cell, g, 256 * FILTERS).reshape(256, FILTERS)
 
 
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 11) -> Network:
@@ -159,12 +164,18 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Train on ``labels`` (``doc_id`` and the target, 0 or 1) of documents; a bounded sample comes to the driver."""
+        sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Train on ``labels`` (``doc_id`` and the target, 0 or 1) of documents.
+
+    About ``sample_rows`` documents of each class come to the driver, or fewer where they have over ``sample_bytes`` in all.
+    """
     ship_code(docs.sparkSession)
     totals = dict(labels.where(F.col(target).isin(0, 1)).groupBy(F.col(target).cast("int")).count().collect())
     sample = labelled_sample(docs, labels, target, sample_rows, id_col, text_col)
-    sample = sample.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy("label", "text").toArrow()
+    place = W.partitionBy("label").orderBy(F.xxhash64(F.lit(1), "text"), "text").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(place), F.lit(0))  # over a bounded table
+    sample = sample.withColumn("before", before).where(F.col("before") < max(1, sample_bytes // 2)).select("label", "text")
+    sample = sample.orderBy("label", "text").toArrow()
     label = sample.column("label").to_numpy()
     sizes = np.bincount(label, minlength=2)
     if not sizes.all():
