@@ -6,6 +6,9 @@ so far in lock-step, keep a diverse choice of the nodes found, and link back. It
 for each layer the neighbours of every node, -1 where there is none) in one row per shard. Queries come in blocks; each
 block searches every shard, exact distances in double precision rank what was found, and the best of all shards are merged.
 
+Walks work on a shard's vectors less their mean, scaled by a power of two, in double precision, so neither the size of the
+numbers nor a common offset costs candidates; a query that finds fewer than k in a shard that has more is compared with all of it.
+
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors of another
 length meet only their like; equal distances go to the smaller id; repeated rows of an id and a vector count once; a query
 does not find its own id; fewer candidates than k give them all; an empty table gives no rows; other columns are not read.
@@ -83,9 +86,31 @@ def _walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, wi
     return np.where(np.isfinite(dist), ids, -1), dist
 
 
-def _diverse(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
+def _unit(x: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """A scale, a centre of what is scaled by it, and another scale, for :func:`_moved` to bring vectors near zero."""
+    first = 2.0 ** -np.frexp(np.abs(x).max(initial=0.0))[1].clip(-1000, 1000)
+    centre = (x * first).mean(axis=0)
+    second = 2.0 ** -np.frexp(np.abs(x * first - centre).max(initial=0.0))[1].clip(-1000, 1000)
+    return first, centre, second
+
+
+def _moved(x: np.ndarray, unit: tuple[float, np.ndarray, float]) -> np.ndarray:
+    """Vectors in a shard's own measure; distances keep their order. Queries far outside are brought to its rim."""
+    first, centre, second = unit
+    return np.clip((x * first - centre) * second, -1e100, 1e100)
+
+
+def _exact(x: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Distances in double precision; powers of two keep squares in range and change no digit."""
+    d = x - vector
+    size = 2.0 ** np.frexp(np.abs(d).max(axis=1, initial=0.0))[1].clip(-1000, 1000)
+    d = d / size[:, None]
+    return np.sqrt((d**2).sum(axis=1)) * size
+
+
+def _diverse(x: np.ndarray, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
     """Of each row's candidates (nearest first) those that are nearer to the node than to any chosen before, then the rest."""
-    y = x[ids]
+    y = x[ids] - x[nodes][:, None, :]  # from the node: far from zero, differences of squares would lose the near ones
     norm = np.einsum("ijk,ijk->ij", y, y)
     between = norm[:, :, None] + norm[:, None, :] - 2 * y @ y.transpose(0, 2, 1)
     chosen = np.zeros(ids.shape, dtype=bool)
@@ -108,7 +133,7 @@ class Graph:
         r = np.random.default_rng(seed)
         n = len(vectors)
         order = r.permutation(n)
-        x = vectors[order].astype(np.float32)
+        x = _moved(vectors[order], _unit(vectors))
         levels = np.minimum((-np.log(1 - r.random(n)) / np.log(LINKS)).astype(int), 8)
         levels[0] = levels.max()  # the entry is the first node, on all layers
         layers = levels[0] + 1
@@ -134,14 +159,13 @@ class Graph:
 
     def _insert(self, new: np.ndarray, levels: np.ndarray) -> None:
         q = self.x[new]
-        norm = np.einsum("ij,ij->i", q, q)
-        own = norm[:, None] + norm[None, :] - 2 * q @ q.T  # distances among the new nodes
+        own = np.concatenate([_dist(q[i : i + 16], q[None]) for i in range(0, len(q), 16)])  # distances among the new nodes
         np.fill_diagonal(own, np.inf)
         start = np.full((len(new), 1), self.entry)
         for layer in range(len(self.links) - 1, -1, -1):
             here = levels[new] >= layer
             if new[0] == 0:  # the first nodes find each other exactly
-                ids, dist = np.zeros((len(new), 0), np.int64), np.zeros((len(new), 0), np.float32)
+                ids, dist = np.zeros((len(new), 0), np.int64), np.zeros((len(new), 0))
             else:
                 ids, dist = _walk(self.x, self.links[layer], q, start, BUILD_WIDTH)
                 start = ids[:, :8]
@@ -157,7 +181,7 @@ class Graph:
             dist_here = np.where(ids_here >= 0, dist_here, np.inf)
             by = np.argsort(dist_here, axis=1, kind="stable")[:, :BUILD_WIDTH]
             ids_here, dist_here = np.take_along_axis(ids_here, by, 1), np.take_along_axis(dist_here, by, 1)
-            self._link(layer, new[at], _diverse(self.x, ids_here, dist_here, LINKS))
+            self._link(layer, new[at], _diverse(self.x, new[at], ids_here, dist_here, LINKS))
 
     def _link(self, layer: int, nodes: np.ndarray, chosen: np.ndarray) -> None:
         """Set the new nodes' neighbours and link back; a node with too many keeps a diverse choice."""
@@ -185,13 +209,13 @@ class Graph:
             full = (ids >= 0).sum(axis=1) > most
             out[~full, : min(used, most)] = ids[~full, : min(used, most)]
             if full.any():
-                out[full] = _diverse(self.x, ids[full][:, :used], dist[full][:, :used], most)
+                out[full] = _diverse(self.x, rows[full], ids[full][:, :used], dist[full][:, :used], most)
             links[rows] = out
 
     def search(self, q: np.ndarray, width: int) -> np.ndarray:
         """Node numbers near each query, -1 where none; at most ``width``."""
-        x = self.x.astype(np.float32)
-        q = q.astype(np.float32)
+        unit = _unit(self.x)
+        x, q = _moved(self.x, unit), _moved(q, unit)
         start = np.full((len(q), 1), self.entry)
         for layer in range(len(self.links) - 1, 0, -1):
             start = _walk(x, self.links[layer], q, start, 8)[0]
@@ -270,6 +294,14 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, width: int =
     return best.select("query_id", "rank", "vec_id", "score")
 
 
+def _candidates(x, ends, ids, nodes, vector, query_id) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the nodes, but for the query's own, and their distances."""
+    counts = ends[nodes] - np.where(nodes > 0, ends[nodes - 1], 0)
+    own = np.concatenate([ids[ends[v] - c : ends[v]] for v, c in zip(nodes, counts)]) if len(nodes) else ids[:0]
+    other = own != query_id
+    return own[other], np.repeat(_exact(x[nodes], vector), counts)[other]
+
+
 def _search_rows(row: pa.RecordBatch, k: int, width: int) -> Iterator[pa.RecordBatch]:
     one = {c: row.column(c)[0] for c in row.schema.names}
     n, dim, layers = one["n"].as_py(), one["dim"].as_py(), one["layers"].as_py()
@@ -287,12 +319,9 @@ def _search_rows(row: pa.RecordBatch, k: int, width: int) -> Iterator[pa.RecordB
         out_q, out_v, out_d = [], [], []
         for qi, vector, nodes in zip(q_ids, q, near):
             nodes = nodes[nodes >= 0]
-            d = np.sqrt(((x[nodes] - vector) ** 2).sum(axis=1))
-            counts = ends[nodes] - np.where(nodes > 0, ends[nodes - 1], 0)
-            own = np.concatenate([ids[ends[v] - c : ends[v]] for v, c in zip(nodes, counts)]) if len(nodes) else ids[:0]
-            d = np.repeat(d, counts)
-            other = own != qi
-            own, d = own[other], d[other]
+            own, d = _candidates(x, ends, ids, nodes, vector, qi)
+            if len(own) < k and len(nodes) < n:
+                own, d = _candidates(x, ends, ids, np.arange(n), vector, qi)
             by = np.lexsort((own, d))[:k]
             out_q.append(np.full(len(by), qi))
             out_v.append(own[by])
