@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from lumenfit.llm import common, exactdedup, hnsw, langid, linededup, mixing, pieces, quality, simhash, tokencount, toxicity
 from lumenfit.llm.components import components
+from lumenfit.llm.queries import ORACLES, QUERIES
 from lumenfit.session import scratch_path
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,11 +126,41 @@ def test_lines_of_rows_without_id(spark):
     rows = [(None, line), (None, line), (3, line), (3, line), (5, f"{line}\n{line}"), (6, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((r.doc_id or 0, r.n_dropped) for r in linededup.line_report(docs).collect())
-    assert got == [(0, 1), (0, 1), (3, 1), (3, 1), (5, 0), (6, 0)]
+    assert got == [(0, 0), (0, 0), (3, 0), (3, 0), (5, 0), (6, 0)]  # three documents hold the line
+    docs = docs.unionByName(spark.createDataFrame([(7, line), (8, line)], docs.schema))
+    got = sorted((r.doc_id or 0, r.n_dropped) for r in linededup.line_report(docs).collect())
+    assert got == [(0, 1), (0, 1), (3, 1), (3, 1), (5, 2), (6, 0), (7, 1), (8, 0)]
     docs = spark.createDataFrame([(None, line)] * 6, "doc_id bigint, text string")
     assert [r.n_dropped for r in linededup.line_report(docs).collect()] == [0] * 6
 
 
+def _against_sql(query_name, docs, spark, path):
+    docs.write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLES[query_name])
+    names = [d[0] for d in want.description]
+    got = QUERIES[query_name](spark, str(path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op6_exact_dedup"])
+def test_repeated_null_and_wide_ids(spark, name, tmp_path):
+    """Code and SQL agree where ids repeat, are missing, or span more than a long holds."""
+    line, other = "the same long line of text in every single document", "Another line, also long enough to be counted here"
+    texts = [line, f"{line}\n{other}", f"x\n{other}\n{line}", other.upper(), None, "", line]
+    ids = [3, 3, 3, None, None, 9 * 10**18, -9 * 10**18, 5, 6, 7, 8, 8, 0, None]
+    r = random.Random(7)
+    rows = [(r.choice(ids), r.choice(texts)) for _ in range(60)]
+    _against_sql(name, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark, tmp_path)
+
+
+def test_lines_without_any_id(spark):
+    rows = [(None, f"{SHARED[0]}\nown line {i}") for i in range(500)]
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 500 and all(r.n_dropped == 0 for r in got)
+
+
 # -- three ----------------------------------------------------------------------------------------------------------
 
 
@@ -262,6 +294,26 @@ def test_language_blocks(spark, odd_docs, monkeypatch):
     assert langs == again and np.allclose(scores, same)
 
 
+def test_prior_is_of_all_rows(spark):
+    rows = [(i, "ein wort" if i % 10 else "a word", "de" if i % 10 else "en") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for bound in (5_000, 100):
+        assert np.exp(langid.fit(docs, sample_rows=bound).prior) == pytest.approx([0.9, 0.1])
+
+
+def test_quality_learns_from_long_texts(spark):
+    r = random.Random(1)
+    text = lambda w: " ".join(r.choice(w) for _ in range(6_000))
+    rows = [(i, text(["aaa", "bbb"] if i % 2 else ["xyz", "qqq"])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    for bound in (quality.SAMPLE_BYTES, 100_000, 1):
+        net = quality.fit(docs, labels, sample_bytes=bound)
+        assert net.constant is None  # at least one text of each class is learned from
+    net = quality.fit(docs, labels)
+    assert net.parts()[0].std() > 0
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(20_000).select("id", (F.col("id") % 10 == 0).alias("rare"))
     sizes = {r.rare: r["count"] for r in common.hash_sample(rows, "id", 3_000, by="rare").groupBy("rare").count().collect()}
@@ -293,6 +345,36 @@ def test_exact_odd(spark, odd_docs, no_docs):
     index.close()
 
 
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_exact_in_batches(spark, batches):
+    """The same rows in any number of batches; later batches find their groups in the index."""
+    r = random.Random(batches)
+    rows = [(r.choice([None, *range(40)]), f"Text {r.randrange(25)}") for _ in range(200)]
+    index = exactdedup.DigestIndex(spark, scratch_path(spark, "test-index"), buckets=2)
+    out = exactdedup.exact_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), index, batches=batches).collect()
+    assert len(out) == 200 and index.rows().count() == len({t for _, t in rows})
+    index.close()
+    for t in {t for _, t in rows}:
+        mine = [r for r in out if bytes(r.digest) == hashlib.sha256(t.lower().encode()).digest()]
+        ids = [i for i, u in rows if u == t]
+        top = max((i for i in ids if i is not None), default=None)
+        assert {(r.group_size, r.keep_id) for r in mine} == {(len(ids), top)} and sum(r.kept for r in mine) == 1
+        assert [r.doc_id for r in mine if r.kept] == [top]
+
+
+def test_exact_batches_meet_the_index(spark, monkeypatch):
+    """Without what earlier batches stored, a group would be kept once in every batch."""
+    rows = [(i, "same") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    fresh = exactdedup.DigestIndex.fresh
+    monkeypatch.setattr(exactdedup.DigestIndex, "fresh", lambda self, keys: seen.append(self.rows().count()) or fresh(self, keys))
+    index = exactdedup.DigestIndex(spark, scratch_path(spark, "test-index"), buckets=2)
+    out = exactdedup.exact_groups(docs, index, batches=3).collect()
+    index.close()
+    assert seen == [0, 1, 1] and [r.doc_id for r in out if r.kept] == [89] and {r.group_size for r in out} == {90}
+
+
 def test_exact_normalises_ascii_only(spark):
     docs = frame(spark, ["É", "é", "A", "a", "ÀB", "Àb"])
     index = exactdedup.DigestIndex(spark, scratch_path(spark, "test-index"))
@@ -322,6 +404,24 @@ def test_neighbours_odd(spark):
     assert hnsw.search_index(hnsw.build_index(none), none).count() == 0
 
 
+@pytest.mark.parametrize("scale, offset", [(1e25, 0), (1e-30, 0), (1, 1e7), (1e-3, 1e9), (1e200, 0)])
+def test_neighbours_of_any_size(spark, scale, offset):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(700, 12)) * scale + offset
+    x[350:] -= 3 * offset  # two far clusters
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = hnsw.search_index(hnsw.build_index(rows), rows.where("vec_id % 20 = 0")).collect()
+    assert len(got) == 35 * 10
+    hits = 0
+    for q in range(0, 700, 20):
+        d = np.sqrt((((x - x[q]) / scale) ** 2).sum(axis=1)) * scale
+        want = [i for i in np.lexsort((np.arange(700), d)) if i != q][:10]
+        mine = [v for v in got if v.query_id == q]
+        hits += len({v.vec_id for v in mine} & set(want))
+        assert all(v.score == pytest.approx(d[v.vec_id], rel=1e-12) for v in mine)
+    assert hits >= 0.95 * 350
+
+
 def test_neighbours_in_many_shards(spark):
     """Clusters, a very common vector, several shards and query blocks: recall and ties against brute force."""
     r = np.random.default_rng(4)

@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from llm_reference import classes, clean_lines, simhash64
+from llm_reference import clean_lines
+from test_overlap import copies as near_classes
 
 import corpus_pipeline
 from lumenfit.llm import langid
@@ -42,7 +43,7 @@ def test_stages(spark, sf_dir, stages):
     assert all(r.n_chars == len(r.text) for r in lines.collect())
     # Near copies: the smallest id of each class.
     texts = _texts(lines)
-    of = classes({i: simhash64(t, 5) for i, t in texts.items()}, corpus_pipeline.NEAR_BITS)
+    of = near_classes(texts)
     assert _texts(copies) == {i: t for i, t in texts.items() if of[i] == i} and len(set(of.values())) < len(of)
     # Mixture: all rows, sources interleaved.
     assert sorted(map(tuple, mixture.collect())) == sorted(map(tuple, copies.collect()))
