@@ -7,21 +7,19 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfit.operators import levelwise
 from lumenfit.operators.common import as_list, spread
 from lumenfit.operators.decompose import CenteredPCA, SymmetricICA, _stages
 from lumenfit.operators.ensemble import EnsembleModel, LeafTableModel, tree_sum
-from lumenfit.operators.metrics import r2_expr
 from lumenfit.operators.scale import ColumnDropper, PopulationScaler, _InOut
 from lumenfit.operators.splits import bootstrap_weights
 from lumenfit.session import materialise
@@ -188,126 +186,65 @@ class _TreeParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
             "cacheNodeIds": depth > 10, **kw,
         })
 
-    def _in_parallel(self, fn, items) -> list:
-        with ThreadPoolExecutor(self.getOrDefault(self.parallelism)) as pool:
-            return list(pool.map(fn, items))
-
-
-OOB_BLOCK = 25  # trees applied in one chain when scoring out of bag
-
 
 class OOBForest(Estimator, _TreeParams):
     """R-7: a bootstrap forest with its out-of-bag R2.
 
-    Row weights per tree are Poisson(1) counts from a hash of (seed, row, tree), so which rows are out of a
-    tree's bag is known without storing anything. Trees are fitted from a small driver thread pool.
+    Row weights per tree are Poisson(1) counts from a hash of (seed, row, tree), so which rows are out of a tree's bag is
+    known without a second look. All trees grow together, level by level, on ``maxBins`` - 1 quantiles of each feature.
     """
 
+    maxBins = Param(Params._dummy(), "maxBins", "parts that a feature's values are cut into", TypeConverters.toInt)
+
     @keyword_only
     def __init__(
-        self, *, numTrees=100, maxDepth=30, minInstances=1, featuresCol="features", labelCol="flux",
-        predictionCol="prediction", keyCol="idx", seed=42, parallelism=4,
+        self, *, numTrees=100, maxDepth=6, minInstances=1, maxBins=32, featuresCol="features", labelCol="flux",
+        predictionCol="prediction", keyCol="idx", seed=42,
     ):
         super().__init__()
-        self._defaults(self._input_kwargs)
+        self._defaults(self._input_kwargs, maxDepth=6, maxBins=32)
 
     def _fit(self, df: DataFrame) -> EnsembleModel:
-        n = self.getOrDefault(self.numTrees)
-        x, y, key = self.getFeaturesCol(), self.getLabelCol(), self.getOrDefault(self.keyCol)
-        bags = bootstrap_weights(df.select(key, x, y), key, n, self.getSeed(), "_w").persist()
+        n, x, y = self.getOrDefault(self.numTrees), self.getFeaturesCol(), self.getLabelCol()
+        key = self.getOrDefault(self.keyCol)
+        bags = bootstrap_weights(df.select(key, x, y), key, n, self.getSeed(), "_w")
+        data, d, mean = levelwise.prepared(bags, x, y, "_w")
         try:
-            def one(t: int):
-                bag = bags.withColumn("_wt", F.col("_w")[t].cast("double")).where("_wt > 0")
-                return self._tree(weightCol="_wt", seed=self.getSeed() + t).fit(bag)
-
-            trees = self._in_parallel(one, range(n))
-            score = self._oob_score(bags, trees)
+            cuts = levelwise.quantile_cuts(data, d, self.getOrDefault(self.maxBins) - 1)
+            trees = levelwise.grow(
+                data, d, n, self.getOrDefault(self.maxDepth), self.getOrDefault(self.minInstances), self.getSeed(), cuts
+            )
+            score = levelwise.out_of_bag_r2(data, trees, n)
         finally:
-            bags.unpersist()
-        forest_model = tree_sum(trees, [1.0 / n] * n, x)
+            data.unpersist()
+        forest_model = levelwise.as_forest(df.sparkSession, trees, mean, d, x, "prediction")
         model = EnsembleModel([forest_model], "sum", score=math.nan if score is None else score)
         return model._set(predictionCol=self.getPredictionCol())
 
-    def _oob_score(self, bags: DataFrame, trees: list) -> float | None:
-        """R2 of each row's mean prediction over the trees that did not see it.
-
-        One narrow pass: trees are applied in blocks that add to a row's running sum and count, and nothing is shuffled
-        but the final aggregate.
-        """
-        x, y = self.getFeaturesCol(), self.getLabelCol()
-        rows = bags.select(x, y, "_w", F.lit(0.0).alias("_s"), F.lit(0).alias("_c"))
-        for at in range(0, len(trees), OOB_BLOCK):
-            total, count = F.col("_s"), F.col("_c")
-            for t in range(at, min(at + OOB_BLOCK, len(trees))):
-                out = F.col("_w")[t] == 0
-                rows = trees[t].copy({trees[t].predictionCol: f"_p{t}"}).transform(rows)
-                total = total + F.when(out, F.col(f"_p{t}")).otherwise(0.0)
-                count = count + F.when(out, 1).otherwise(0)
-            rows = rows.select(x, y, "_w", total.alias("_s"), count.alias("_c"))
-        seen = rows.where("_c > 0").withColumn("_oob", F.col("_s") / F.col("_c"))
-        return seen.agg(r2_expr(y, "_oob")).first()[0]
-
-
-class Quantiser(Transformer, _InOut):
-    """Replace each element by the number of its cut points at or below it."""
-
-    cuts = Param(Params._dummy(), "cuts", "cut points, feature after feature", TypeConverters.toListFloat)
-    perFeature = Param(Params._dummy(), "perFeature", "cut points per feature", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol="features", outputCol="quantised", cuts=None, perFeature=1):
-        super().__init__()
-        self._setDefault(inputCol="features", outputCol="quantised", cuts=[], perFeature=1)
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        cuts = np.array(self.getOrDefault(self.cuts)).reshape(-1, self.getOrDefault(self.perFeature))
-        table = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in cuts])
-        arr = vector_to_array(F.col(self.getInputCol()))
-        codes = F.zip_with(
-            arr, table, lambda x, row: F.size(F.filter(row, lambda c: c <= x)).cast("double")
-        )
-        return df.withColumn(self.getOutputCol(), array_to_vector(codes))
-
 
 class ExtraTrees(Estimator, _TreeParams):
-    """R-9: trees on random cut points, no bootstrap.
+    """R-9: extremely randomised trees on all rows; every node draws one threshold per feature and keeps the best.
 
-    An approximation of extremely randomised trees: each tree draws ``nCuts`` uniform cut points per feature
-    and may only split at those, instead of drawing one threshold per node and feature. Every tree has its own
-    cut points and is its own plan node, so keep to a hundred or so.
+    Draws are digests of (seed, tree, node, feature), so trees depend on neither cores nor partitions.
     """
 
-    nCuts = Param(Params._dummy(), "nCuts", "random cut points per feature", TypeConverters.toInt)
-
     @keyword_only
     def __init__(
-        self, *, numTrees=100, nCuts=15, maxDepth=30, minInstances=1, featuresCol="features",
-        labelCol="flux", predictionCol="prediction", keyCol="idx", seed=42, parallelism=4,
+        self, *, numTrees=100, maxDepth=10, minInstances=1, featuresCol="features", labelCol="flux",
+        predictionCol="prediction", seed=42,
     ):
         super().__init__()
-        self._defaults(self._input_kwargs, nCuts=15)
+        self._defaults(self._input_kwargs, maxDepth=10)
 
-    def _fit(self, df: DataFrame) -> EnsembleModel:
-        x, y, n_cuts = self.getFeaturesCol(), self.getLabelCol(), self.getOrDefault(self.nCuts)
-        data = df.select(x, y).persist()
+    def _fit(self, df: DataFrame) -> RandomForestRegressionModel:
+        n, x = self.getOrDefault(self.numTrees), self.getFeaturesCol()
+        data, d, mean = levelwise.prepared(df, x, self.getLabelCol())
         try:
-            row = data.select(Summarizer.metrics("min", "max").summary(F.col(x)).alias("s")).first()["s"]
-            lo, hi = np.array(row["min"]), np.array(row["max"])
-
-            def one(t: int):
-                rng = np.random.default_rng([self.getSeed(), t])
-                cuts = lo[:, None] + (hi - lo)[:, None] * rng.random((len(lo), n_cuts))
-                quantise = Quantiser(
-                    inputCol=x, outputCol="_q", cuts=cuts.ravel().tolist(), perFeature=n_cuts
-                )
-                tree = self._tree(featuresCol="_q", maxBins=max(2, n_cuts + 1))
-                return PipelineModel([quantise, tree.fit(quantise.transform(data))])
-
-            trees = self._in_parallel(one, range(self.getOrDefault(self.numTrees)))
+            depth, least = self.getOrDefault(self.maxDepth), self.getOrDefault(self.minInstances)
+            trees = levelwise.grow(data, d, n, depth, least, self.getSeed())
         finally:
             data.unpersist()
-        return EnsembleModel(trees, "mean")._set(predictionCol=self.getPredictionCol())
+        return levelwise.as_forest(df.sparkSession, trees, mean, d, x, self.getPredictionCol())
 
 
 def leaf_table(found: dict[float, float]) -> list[float]:

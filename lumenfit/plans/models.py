@@ -377,14 +377,47 @@ def boosting_one_round(spark, sf):
 @query("oob_score")
 def oob_score(spark, sf):
     df = model_frame(spark, sf)
-    model = forest.OOBForest(numTrees=TREES, maxDepth=6).fit(_train(df))
+    model = forest.OOBForest().fit(_train(df))
     return _report(spark, model, df, oob_r2_pct=round(100.0 * model.oob_score_, 4))
 
 
 @query("extra_trees")
 def extra_trees(spark, sf):
     df = model_frame(spark, sf)
-    return _report(spark, forest.ExtraTrees(numTrees=TREES, maxDepth=DEPTH).fit(_train(df)), df)
+    return _report(spark, forest.ExtraTrees().fit(_train(df)), df)
+
+
+_DRAWN = ["xpos", "ypos", "pix5", "bg_flux"]
+
+
+def _drawn_level(k: int) -> list[str]:
+    """CTEs of one level: a threshold for every node and feature, the best split of each node, and where rows go."""
+    return [
+        f"cut{k} as (select tree, heap, feature, min(x) + (max(x) - min(x)) * {uniform_sql('42', 'tree', 'heap', 'feature')} as cut, "
+        f"count(*) as n, sum(y) as s, sum(y*y) as q from at{k} join vals using (idx) group by tree, heap, feature)",
+        f"gain{k} as (select tree, heap, feature, cut, any_value(n) as n, any_value(s) as s, any_value(q) as q, "
+        f"count(*) filter (x <= cut) as nl, sum(y) filter (x <= cut) as sl "
+        f"from at{k} join vals using (idx) join cut{k} using (tree, heap, feature) group by tree, heap, feature, cut)",
+        f"share{k} as (select tree, heap, feature, cut, round((sl*sl/nl + (s-sl)*(s-sl)/(n-nl) - s*s/n)/q, 12) as gain "
+        f"from gain{k} where nl >= 1 and n - nl >= 1)",
+        f"best{k} as (select * from share{k} where gain > 0 "
+        "qualify row_number() over (partition by tree, heap order by gain desc, feature) = 1)",
+        f"at{k + 1} as (select idx, tree, case when b.feature is null then heap when x <= cut then 2*heap else 2*heap + 1 end as heap, y "
+        f"from at{k} left join best{k} b using (tree, heap) left join vals using (idx, feature))",
+    ]
+
+
+@query("extra_trees_two_levels", on_cal(
+    f"select idx, {sql_rnd('avg(p) + any_value(mean)', 9)} as prediction from leaves, (select avg(flux) as mean from cal) group by idx",
+    "vals as (" + " union all ".join(f"select idx, {i} as feature, {c} as x from cal" for i, c in enumerate(_DRAWN)) + ")",
+    "at0 as (select idx, tree, 1 as heap, flux - (select avg(flux) from cal) as y from cal, (select unnest(range(3)) as tree))",
+    *_drawn_level(0), *_drawn_level(1),
+    "leaves as (select idx, avg(y) over (partition by tree, heap) as p from at2)"))
+def extra_trees_two_levels(spark, sf):
+    """Extremely randomised trees of two levels: thresholds from digests, best splits and leaf means."""
+    df = VectorAssembler(inputCols=_DRAWN, outputCol="features").transform(cal(spark, sf))
+    model = forest.ExtraTrees(numTrees=3, maxDepth=2).fit(df)
+    return rounded(model.transform(df), ["prediction"], 9)
 
 
 @query("adaboost_r2")

@@ -65,9 +65,8 @@ def test_select_k(spark, values, k):
     assert {r["k"] for r in rows} == {k} and sum(r["selected"] for r in rows) == k
 
 
-def test_oob_forest(spark, toy, tmp_path, monkeypatch):
-    monkeypatch.setattr(forest, "OOB_BLOCK", 3)
-    model = forest.OOBForest(numTrees=8, maxDepth=6, parallelism=4).fit(toy)
+def test_oob_forest(spark, toy, tmp_path):
+    model = forest.OOBForest(numTrees=8, maxDepth=6).fit(toy)
     assert 0.7 < model.oob_score_ < r2(model, toy)
     # The same score by hand: each row's mean over the trees whose bag it is not in.
     from lumenfit.operators.splits import bootstrap_weights
