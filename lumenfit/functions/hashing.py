@@ -46,10 +46,57 @@ def uniform_sql(*parts: str) -> str:
     return f"((cast('0x' || substr(md5({text}), 1, {UNIFORM_BITS // 4}) as bigint) + 5e-1) * {2.0**-UNIFORM_BITS!r})"
 
 
-def normal_sql(*parts: str) -> str:
-    """:func:`normal` as SQL text."""
-    u1, u2 = uniform_sql(*parts, "'radius'"), uniform_sql(*parts, "'angle'")
-    return f"(sqrt(-2e0 * ln({u1})) * cos(6.283185307179586e0 * {u2}))"
+# --- four draws from one digest: two words of 60 bits, each of two draws of 30 ---------------------------------------
+
+DRAWS = 4
+_WORD, _HALF = 15, 30  # hexadecimal digits of a word, bits of a draw
+_MASK = (1 << _HALF) - 1
+
+
+def word_of(digest: Column, number: int) -> Column:
+    """Word 0 or 1 of a digest as a non-negative bigint."""
+    return F.conv(F.substring(digest, 1 + _WORD * number, _WORD), 16, 10).cast("bigint")
+
+
+def words(*parts) -> list[Column]:
+    """Both words of the digest of the parts, written as text and joined by colons."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return [word_of(F.md5(text), 0), word_of(F.md5(text), 1)]
+
+
+def unit(word: Column, half: int) -> Column:
+    """A double in (0, 1) from one half of a word."""
+    bits = word.bitwiseAND(F.lit(_MASK)) if half else F.shiftright(word, _HALF)
+    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-_HALF)
+
+
+def normal_of(pair: list[Column], lane: int) -> Column:
+    """Standard normal draw 0 .. 3 of a digest's words: Box-Muller gives two of each word."""
+    word = pair[lane // 2]
+    turn = F.lit(6.283185307179586) * unit(word, 1)
+    return F.sqrt(F.lit(-2.0) * F.ln(unit(word, 0))) * (F.sin(turn) if lane % 2 else F.cos(turn))
+
+
+def _word_sql(block: str, number: str, parts: tuple[str, ...]) -> str:
+    text = " || ':' || ".join(f"cast({p} as varchar)" for p in (*parts, block))
+    return f"cast('0x' || substr(md5({text}), 1 + {_WORD} * ({number}), {_WORD}) as bigint)"
+
+
+def _unit_sql(word: str, half: str) -> str:
+    return f"((case when ({half}) = 0 then {word} >> {_HALF} else {word} & {_MASK} end + 5e-1) * {2.0**-_HALF!r})"
+
+
+def draw_sql(number: str, *parts: str) -> str:
+    """Uniform draw ``number`` (an SQL expression) of the blocks of four that follow the parts."""
+    word = _word_sql(f"({number}) // {DRAWS}", f"(({number}) % {DRAWS}) // 2", parts)
+    return _unit_sql(word, f"({number}) % 2")
+
+
+def normal_sql(number: int, *parts: str) -> str:
+    """:func:`normal_of` as SQL text: normal draw ``number`` of the blocks of four that follow the parts."""
+    word = _word_sql(str(number // DRAWS), str(number % DRAWS // 2), parts)
+    turn = "sin" if number % 2 else "cos"
+    return f"(sqrt(-2e0 * ln({_unit_sql(word, '0')})) * {turn}(6.283185307179586e0 * {_unit_sql(word, '1')}))"
 
 
 def poisson1_sql(u: str) -> str:
@@ -58,12 +105,6 @@ def poisson1_sql(u: str) -> str:
     return "case " + " ".join(f"when {u} < {c!r}e0 then {k}" for k, c in enumerate(cdf)) + f" else {len(cdf)} end"
 
 
-def normal(*parts) -> Column:
-    """A standard normal draw: Box-Muller on two hash-derived uniforms."""
-    u1, u2 = uniform(*parts, "radius"), uniform(*parts, "angle")
-    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * u2)
-
-
 def _poisson_cdf(terms: int = 16) -> list[float]:
     p, acc, out = 2.718281828459045**-1, 0.0, []
     for k in range(terms):

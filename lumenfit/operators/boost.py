@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfit.functions.hashing import uniform
 from lumenfit.operators.ensemble import LeafTableModel, predict_as, tree_sum
 from lumenfit.operators.forest import _TreeParams, leaf_table
-from lumenfit.operators.median import exact_quantile_value
+from lumenfit.operators.median import exact_quantile, exact_quantile_value
 from lumenfit.session import ensure_checkpoint_dir, materialise
 
 
@@ -49,9 +49,8 @@ def resume_boosted(model, df: DataFrame, rounds: int, labelCol="flux", **kw) ->
 class QuantileBoost(Estimator, _TreeParams):
     """R-12: gradient boosting with the quantile loss.
 
-    Each round fits a tree to the loss gradient and then sets every leaf to the ``alpha`` quantile of the
-    residuals in it. The per-leaf quantile is a mergeable sketch, so a leaf holding a third of all rows is as
-    cheap as any other.
+    Each round fits a tree to the loss gradient and then sets every leaf to the exact ``alpha`` quantile of the
+    residuals in it, all leaves in one selection, in which a leaf may hold any share of the rows.
     """
 
     alpha = Param(Params._dummy(), "alpha", "quantile", TypeConverters.toFloat)
@@ -94,8 +93,7 @@ class QuantileBoost(Estimator, _TreeParams):
                 bag = work.where(uniform(F.lit(self.getSeed()), F.lit(t), F.col(key)) < share)
             tree = self._tree(labelCol="_g", leafCol="_leaf", seed=self.getSeed() + t).fit(bag)
             tree = tree.setPredictionCol("")
-            quantile = F.percentile_approx("_r", alpha, 10_000)
-            table = leaf_table(dict(tree.transform(bag).groupBy("_leaf").agg(quantile).collect()))
+            table = leaf_table(dict(exact_quantile(tree.transform(bag), "_r", alpha, "_leaf").collect()))
             trees.append(tree)
             tables.append(table)
             weights.append(step)

@@ -94,19 +94,26 @@ def median_value(df: DataFrame, col: str, small: int = SMALL) -> float:
 def exact_median(
     df: DataFrame, col: str, by=None, name: str = "median", small: int = SMALL
 ) -> DataFrame:
-    """E-21: the exact median per group (one row when ``by`` is None).
+    """E-21: the exact median per group (one row when ``by`` is None)."""
+    return exact_quantile(df, col, 0.5, by, name, small)
+
+
+def exact_quantile(
+    df: DataFrame, col: str, p: float, by=None, name: str = "quantile", small: int = SMALL
+) -> DataFrame:
+    """The exact quantile (linear interpolation) per group, of any number of groups at once.
 
     Up to ``small`` rows in all, the built-in aggregate is used. Beyond that distinct values are counted per group,
     so that ties cost nothing, and dealt by range of (group, value) into buckets: a group's counts per bucket say
-    which bucket holds its middle ranks, and only values of that bucket are ordered.
+    which bucket holds its two ranks, and only values of that bucket are ordered.
     """
     by = as_list(by)
     vals = _values(df, col, by)
     n = vals.agg(F.count("_v")).first()[0]
     if n <= small:
-        return vals.groupBy(*by).agg(F.median("_v").alias(name))
+        return vals.groupBy(*by).agg(F.percentile("_v", F.lit(p)).alias(name))
     if not by:
-        value = median_value(df, col, small)
+        value = exact_quantile_value(df, col, p, small)
         return df.sparkSession.createDataFrame([(value,)], f"{name} double")
 
     tally = vals.where("_v is not null").groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
@@ -119,11 +126,12 @@ def exact_median(
         sizes.withColumns({"_end": F.sum("_size").over(upto), "_n": F.sum("_size").over(group)})
         .withColumns({
             "_start": F.col("_end") - F.col("_size"),
-            "_low": F.expr("(_n - 1) div 2"),
-            "_high": F.expr("_n div 2"),
+            "_low": F.floor((F.col("_n") - 1) * F.lit(p)),
+            "_share": (F.col("_n") - 1) * F.lit(p) - F.floor((F.col("_n") - 1) * F.lit(p)),
         })
+        .withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
         .where("_start <= _high and _end > _low")
-        .select(*by, "_bucket", "_start", "_low", "_high")
+        .select(*by, "_bucket", "_start", "_low", "_high", "_share")
     )
     keys = [*by, "_bucket"]
     # Two rows per group at most: if they are few, the other buckets' rows never leave their task.
@@ -134,5 +142,7 @@ def exact_median(
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .where("(_from <= _low and _to > _low) or (_from <= _high and _to > _high)")
         .groupBy(*by)
-        .agg(F.avg("_v").alias(name))
+        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first("_share").alias("_share"))
+        .select(*by, F.when(F.col("_a") == F.col("_b"), F.col("_a"))
+                .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias(name))
     )

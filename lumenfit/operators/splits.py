@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfit.functions.hashing import HASH_BITS, hash60, md5_key, poisson1, uniform
+from lumenfit.functions.hashing import DRAWS, HASH_BITS, hash60, md5_key, poisson1, uniform, unit, word_of
 from lumenfit.operators.common import join_on
 from lumenfit.operators.index import with_dense_index
 
@@ -99,10 +99,15 @@ def hash_folds(df: DataFrame, key="idx", k: int = 10, seed: int = 42) -> DataFra
 def bootstrap_weights(
     df: DataFrame, key="idx", n_trees: int = 100, seed: int = 42, name: str = "w"
 ) -> DataFrame:
-    """P-5: add an array with each row's Poisson(1) bootstrap count per tree; zero means out of bag."""
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    draws = F.transform(trees, lambda t: uniform(F.lit(seed), F.col(key), t))
-    return df.withColumn(name, F.transform(draws, poisson1))
+    """P-5: add an array with each row's Poisson(1) bootstrap count per tree; zero means out of bag.
+
+    A digest of (seed, row, block) gives the counts of four trees.
+    """
+    blocks = F.sequence(F.lit(0), F.lit(-(-n_trees // DRAWS) - 1))
+    digests = F.transform(blocks, lambda b: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"), b.cast("string"))))
+    both = F.flatten(F.transform(digests, lambda d: F.array(word_of(d, 0), word_of(d, 1))))
+    counts = F.flatten(F.transform(both, lambda w: F.array(poisson1(unit(w, 0)), poisson1(unit(w, 1)))))
+    return df.withColumn(name, F.slice(counts, 1, n_trees))
 
 
 def epoch_order(df: DataFrame, epoch: int, seed: int = 42, key="idx") -> DataFrame:

@@ -10,7 +10,7 @@ from lumenfit.operators import features as fe
 from lumenfit.plans.cal import FEATURES, FILE_KEY, PRED, cal, cal_pred, cal_targets
 from lumenfit.functions.hashing import normal_sql
 from lumenfit.plans.registry import on_cal, query, rnd, rounded, sql_rnd, sql_rounded
-from lumenfit.schema import FLUX_SCALED, PIXELS
+from lumenfit.schema import ERROR_OF, FLUX_SCALED, PIXELS
 from lumenfit.session import scratch_path
 from lumenfit.sources import tables
 
@@ -262,7 +262,7 @@ _DRAWN = {"flux": "fluxerr", "xpos": "xerr", "bg_flux": "sigma_bg_flux", "pix5":
 
 @query("resample", on_cal(
     "select idx, draw, " + sql_rounded({
-        c: f"{c} + {s} * {normal_sql('42', 'idx', 'draw', repr(c))}" for c, s in _DRAWN.items()
+        c: f"{c} + {s} * {normal_sql([*ERROR_OF].index(c), '42', 'idx', 'draw')}" for c, s in _DRAWN.items()
     }) + " from cal, (select unnest(range(3)) as draw)"))
 def resample(spark, sf):
     """Three draws of each row within its errors; every draw is a digest that SQL repeats."""

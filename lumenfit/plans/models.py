@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from lumenfit import schema
 from lumenfit.functions import kernels
-from lumenfit.functions.hashing import poisson1_sql, uniform_sql
-from lumenfit.operators import boost, features as fe, forest, metrics, neural, scale, search, splits
+from lumenfit.functions.hashing import draw_sql, poisson1_sql, uniform_sql
+from lumenfit.operators import boost, features as fe, forest, median, metrics, neural, scale, search, splits
 from lumenfit.operators.common import spread
 from lumenfit.operators.ensemble import predict_as
 from lumenfit.operators.linear import PixelLinearModel
@@ -347,7 +347,7 @@ _LEAF_MEANS = on_cal(
 
 _BAGS = [
     "trees as (select unnest(range(5)) as tree)",
-    f"draws as (select idx, tree, flux, pix5 > pix1 as x, {uniform_sql('42', 'idx', 'tree')} as u from cal, trees)",
+    f"draws as (select idx, tree, flux, pix5 > pix1 as x, {draw_sql('tree', '42', 'idx')} as u from cal, trees)",
     f"bags as (select idx, tree, flux, x, {poisson1_sql('u')} as w from draws)",
     "leaves as (select idx, flux, w, sum(w * flux) over (partition by tree, x) / sum(w) over (partition by tree, x) as p from bags)",
     "forest as (select idx, any_value(flux) as flux, avg(p) as prediction, avg(p) filter (w = 0) as oob from leaves group by idx)",
@@ -453,6 +453,28 @@ def gbt_quantile(spark, sf):
     )
 
 
+@query("quantile_one_round", on_cal(
+    "select idx, " + sql_rnd("start + 3e-1 * quantile_cont(flux - start, 9e-1) over (partition by pix5 > pix1)", 9)
+    + " as prediction from cal, (select quantile_cont(flux, 9e-1) as start from cal)"))
+def quantile_one_round(spark, sf):
+    """One round of quantile boosting: every leaf moves towards the exact quantile of its residuals."""
+    df = _two_leaves(spark, sf)
+    model = boost.QuantileBoost(numTrees=1, stepSize=0.3, maxDepth=1).fit(df)
+    return rounded(model.transform(df), ["prediction"], 9)
+
+
+@query("quantiles_by_file", on_cal(
+    "select file_key, " + ", ".join(f"{sql_rnd(f'quantile_cont(flux, {p!r}e0)', 9)} as q{i}" for i, p in enumerate((0.05, 0.25, 0.9)))
+    + " from cal group by file_key", extra=FILE_KEY))
+def quantiles_by_file(spark, sf):
+    """Exact quantiles of every file at once, on the path of tables too large for one buffer."""
+    df, out = cal_targets(spark, sf).select("file_key", "flux"), None
+    for i, p in enumerate((0.05, 0.25, 0.9)):
+        found = median.exact_quantile(df, "flux", p, "file_key", f"q{i}", small=1_000)
+        out = found if out is None else out.join(found, "file_key")
+    return rounded(out, ["q0", "q1", "q2"], 9, keep=("file_key",))
+
+
 @query("resume_forest")
 def resume_forest(spark, sf):
     df = model_frame(spark, sf)

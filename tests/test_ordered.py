@@ -94,6 +94,21 @@ def test_quantile_value(spark, p):
         assert median.exact_quantile_value(df, "x", p, small) == pytest.approx(np.quantile(x, p), rel=1e-12)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.13, 0.9, 1.0])
+def test_grouped_quantiles(spark, p):
+    """Groups of one, two and many rows, ties and infinities."""
+    rows = [(g, float(v)) for g, vs in VALUES.items() for v in vs] + [("one", 3.0), ("pair", 1.0), ("pair", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for small in (50, 100_000):
+        got = {r["g"]: r["quantile"] for r in median.exact_quantile(df, "x", p, "g", small=small).collect()}
+        assert got.pop("none", None) is None
+        for g, vs in [*VALUES.items(), ("one", [3.0]), ("pair", [1.0, 2.0])]:
+            at = sorted(vs)[int(np.floor(p * (len(vs) - 1))):][:2]
+            share = p * (len(vs) - 1) % 1
+            want = at[0] if share == 0 or at[0] == at[1] else at[0] + (at[1] - at[0]) * share
+            assert got[g] == pytest.approx(want, rel=1e-12), (g, small)
+
+
 @pytest.mark.parametrize("limit", [0, 500_000])
 @pytest.mark.parametrize("small", [50, 100_000])
 def test_grouped_median_hot_group(spark, monkeypatch, limit, small):
