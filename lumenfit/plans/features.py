@@ -6,9 +6,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from lumenfit import schema
+from lumenfit.functions.hashing import normal_sql
 from lumenfit.operators import features as fe
 from lumenfit.plans.cal import FEATURES, FILE_KEY, PRED, cal, cal_pred, cal_targets
-from lumenfit.functions.hashing import normal_sql
+
 from lumenfit.plans.registry import on_cal, query, rnd, rounded, sql_rnd, sql_rounded
 from lumenfit.schema import ERROR_OF, FLUX_SCALED, PIXELS
 from lumenfit.session import scratch_path
@@ -223,6 +224,43 @@ def sigma_clip_rounds(spark, sf):
     return rounded(fe.sigma_clip(dirty, ["flux", "xpos"], 4.0), ["flux"], 9)
 
 
+@query("sigma_clip_robust", on_cal(
+    f"select idx, {sql_rounded(['flux'], 9)} from dirty, mid, off where flux between fm - 4e0*14826e-4*fw and fm + 4e0*14826e-4*fw "
+    "and xpos between xm - 4e0*14826e-4*xw and xm + 4e0*14826e-4*xw",
+    _DIRTY, "mid as (select median(flux) as fm, median(xpos) as xm from dirty)",
+    "off as (select median(abs(flux - fm)) as fw, median(abs(xpos - xm)) as xw from dirty, mid)"))
+def sigma_clip_robust(spark, sf):
+    """One round about the median, in median absolute deviations."""
+    dirty = cal(spark, sf).withColumn("flux", F.expr(DIRTY["flux"]))
+    return rounded(fe.sigma_clip(dirty, ["flux", "xpos"], 4.0, iters=1, robust=True), ["flux"], 9)
+
+
+def _preset_sql(name: str) -> str:
+    """How many rows and features a preset has, and what they add up to: all raw columns less those that are dropped."""
+    gone = schema.DROP_SETS[name]
+    total = "+".join(c for c in schema.RAW_COLUMNS if c not in gone) + (" + freq" if name.endswith("freq") else "")
+    width = len(schema.RAW_COLUMNS) - len(gone) + name.endswith("freq")
+    return f"select '{name}' as preset, {width} as width, count(*) as n, {sql_rnd(f'avg({total})', 4)} as mean from ramp"
+
+
+@query("feature_presets", on_cal(
+    " union all ".join([_preset_sql(name) for name in schema.DROP_SETS] + [
+        f"select 'non_err' as preset, {sum('err' not in c for c in schema.RAW_COLUMNS)} as width, count(*) as n, "
+        + sql_rnd("avg(" + "+".join(c for c in schema.RAW_COLUMNS if "err" not in c and c != "flux") + " + freq)", 4) + " as mean from ramp"]),
+    "ramp as (select *, 2e0*idx as freq from cal)"))
+def feature_presets(spark, sf):
+    """The features of every preset that drops columns, from a table that has a ramp beside the raw ones."""
+    df, out = cal(spark, sf).withColumn("freq", F.expr("2e0*idx")), None
+    for name in [*schema.DROP_SETS, "non_err"]:
+        names = schema.feature_preset(df, name)
+        row = df.agg(
+            F.lit(name).alias("preset"), F.lit(len(names)).alias("width"), F.count(F.lit(1)).alias("n"),
+            rnd(F.avg(sum(F.col(c) for c in names)), 4).alias("mean"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("label_or_ones", on_cal(
     f"select idx, {sql_rounded({'label': 'flux'}, 9)}, 1e0 as missing from cal"))
 def label_or_ones(spark, sf):

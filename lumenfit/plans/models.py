@@ -1,7 +1,8 @@
 """Catalogue: regressors, search, persistence and streaming (R-1 .. R-23, H-1 .. H-4, S-10 .. S-14, ST-1, ST-2).
 
-Tree and network fits have no SQL counterpart; their queries report scores over whole splits. Sizes (trees,
-rounds, epochs) are kept small here because each is a Spark job; the library's own defaults are the full ones.
+Whole tree and network fits have no SQL counterpart; their queries report scores over whole splits, and small fits that SQL
+can follow stand beside them. Sizes (trees, rounds, epochs) are kept small where each is a Spark job; trees grown level by
+level have the library's own sizes.
 """
 
 from __future__ import annotations
@@ -131,6 +132,41 @@ def score_targets(spark, sf):
     return rounded(out, ["r2", "chisq"], 4, keep=("file_key", "n"))
 
 
+def _named_targets(spark, sf, root: str) -> list[str]:
+    """One CSV file per file key, named after it, and one that a glob of targets must skip; the keys come back."""
+    rows = cal_targets(spark, sf).select(*[f.name for f in schema.TARGET_SCHEMA], "file_key")
+    rows.repartition("file_key").write.partitionBy("file_key").option("header", True).csv(f"{root}/parts")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/parts")
+    fs, keys = at.getFileSystem(conf), []
+    for folder in (f.getPath() for f in fs.listStatus(at) if f.isDirectory()):
+        key = folder.getName().split("=")[1]
+        part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{root}/target_{'NALU_' if key == 't7' else ''}{key}.csv"))
+        keys.append(key)
+    return sorted(keys)
+
+
+@query("targets_named_files", on_cal(
+    f"select * from ({_BY_FILE}) where file_key <> 't7'", MED, _NORM, *_TARGET_FIT, extra=FILE_KEY))
+def targets_named_files(spark, sf):
+    """Targets read from a glob, scored, and each file's predictions written under its own name and read back."""
+    root, pipeline = scratch_path(spark, "named"), _pixel_pipeline(spark, sf)
+    keys = _named_targets(spark, sf, root)
+    scored = pipeline.transform(tables.read_targets(spark, f"{root}/target_*.csv"))
+    for key in keys:
+        source = f"{root}/target_{key}.csv"
+        tables.write_predictions(scored.where(F.col("file_key") == key), tables.prediction_path(source, "std"))
+    stored = spark.read.option("header", True).schema("bmjd double, flux double, fluxerr double, RF_Predict double")
+    back = stored.csv(f"{root}/target_*_std_save.txt").withColumn(
+        "file_key", F.regexp_extract(F.col("_metadata.file_path"), "target_([^_/]+)_std_save", 1))
+    out = back.groupBy("file_key").agg(
+        F.count(F.lit(1)).alias("n"), metrics.r2_expr("flux", "RF_Predict").alias("r2"),
+        F.sum(metrics.chi_expr("flux", "RF_Predict", "fluxerr")).alias("chisq"),
+    )
+    return rounded(out, ["r2", "chisq"], 4, keep=("file_key", "n"))
+
+
 @query("save_load_pipeline", on_cal(
     f"select idx, {sql_rounded(['prediction'])} from fit", MED, _NORM,
     *_least_squares({**_TIME, **_PIX}, "flux", "nrm")))
@@ -336,6 +372,19 @@ def importance_ranks(spark, sf):
     return out.withColumn("n_rows", F.lit(df.count()))
 
 
+@query("importances_file", on_cal(
+    "select feature, case when feature = 'above' then 1e0 else 0e0 end as importance, 0e0 as std, count(*) as n_rows "
+    "from cal, (select unnest(['above', 'nothing']) as feature) group by feature"))
+def importances_file(spark, sf):
+    """Importances written and read back: a forest on one telling and one constant feature."""
+    df = cal(spark, sf).selectExpr("idx", "flux", "cast(pix5 > pix1 as double) as above", "1e0 as nothing")
+    packed = VectorAssembler(inputCols=["above", "nothing"], outputCol="features").transform(df)
+    model, path = forest.forest(numTrees=5, maxDepth=1).fit(packed), scratch_path(spark, "importances")
+    tables.write_importances(forest.importances(model, ["above", "nothing"], spark), path)
+    out = rounded(tables.read_importances(spark, path), ["importance", "std"], keep=("feature",))
+    return out.withColumn("n_rows", F.lit(df.count()))
+
+
 def _two_leaves(spark, sf):
     df = cal(spark, sf).selectExpr("idx", "flux", "cast(pix5 > pix1 as double) as x")
     return VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
@@ -540,7 +589,7 @@ _STEP = {"kind": "dense", "n_in": 1, "hidden": [1], "activation": "tanh", "dropo
          "l2": 0.0, "loss": "mse"}
 
 
-def _one_step_sql(lr: float) -> str:
+def _one_step_sql(lr: float, select: str | None = None) -> str:
     """A one-unit network after one full-gradient Adam step, whose first move is ``lr * g / (|g| + eps)``, as SQL."""
     start = {k: float(b.ravel()[0]) for k, b in kernels.unpack(_STEP, kernels.initial(_STEP, 42)).items()}
     w0, b0, w1, b1 = (f"({start[k]!r}e0)" for k in ("w0", "b0", "w1", "b1"))
@@ -548,8 +597,9 @@ def _one_step_sql(lr: float) -> str:
         k: f"({v} - {lr!r}e0 * {g} / (abs({g}) + 1e-8))" for k, v, g in
         (("w0", w0, "gw0"), ("b0", b0, "gb0"), ("w1", w1, "gw1"), ("b1", b1, "gb1"))
     }
+    after = f"{moved['w1']} * tanh({moved['w0']} * x + {moved['b0']}) + {moved['b1']}"
     return on_cal(
-        "select idx, " + sql_rnd(f"{moved['w1']} * tanh({moved['w0']} * x + {moved['b0']}) + {moved['b1']}", 6)
+        select.format(after=after) if select else "select idx, " + sql_rnd(f"{moved['w1']} * tanh({moved['w0']} * x + {moved['b0']}) + {moved['b1']}", 6)
         + " as prediction from rows1, g",
         "rows1 as (select idx, xpos - 145e-1 as x, flux as y from cal)",
         f"f as (select x, tanh({w0} * x + {b0}) as a, {w1} * tanh({w0} * x + {b0}) + {b1} - y as d from rows1)",
@@ -566,6 +616,18 @@ def network_sync_step(spark, sf):
     return rounded(est.fit(df).transform(df), ["prediction"], 6)
 
 
+@query("history_file", _one_step_sql(
+    0.05, "select 0 as epoch, n as n_rows, " + sql_rounded({
+        "loss": "5e-1 * sse", "r2_train": "1e0 - sse / (v * n)", "chisq_train": "sse",
+    }, 4) + " from (select count(*) as n, sum((y - ({after})) * (y - ({after}))) as sse, var_pop(y) as v from rows1, g)"))
+def history_file(spark, sf):
+    """The epoch history of one full-gradient step, written as CSV and read back."""
+    df = cal(spark, sf).selectExpr("idx", "flux", "array(xpos - 145e-1) as features")
+    est = neural.DenseRegressor(hidden=[1], activation="tanh", dropout=0.0, epochs=1, lr=0.05, mode="sync", seed=42)
+    out = rounded(_net_report(spark, est.fit(df), df), ["loss", "r2_train", "chisq_train"], 4, keep=("epoch",))
+    return out.withColumn("n_rows", F.lit(df.count()))
+
+
 @query("nalu_fit")
 def nalu_fit(spark, sf):
     """Epoch history of a one-layer arithmetic network."""
@@ -655,11 +717,25 @@ def random_search(spark, sf):
     return results.drop("seconds")
 
 
-@query("search_space", f"select count(*) as n, {13 * 12 * 12} as settings from events")
+_FOLDS = 3
+
+
+@query("search_space", on_cal(
+    "select s.depth as maxDepth, o.held as fold, " + sql_rounded({
+        "r2": "1e0 - sum((flux-p)*(flux-p)) / (var_pop(flux)*count(*))", "neg_rmse": "-sqrt(avg((flux-p)*(flux-p)))",
+    }) + " from outs o join settings s on s.depth = o.depth where fold = held group by all",
+    "settings as (select unnest([1, 2]) as depth)",
+    "held as (select unnest(range(3)) as held)",
+    f"parts as (select flux, pix5 > pix1 as x, cast('0x' || substr(md5(idx || ':42'), 1, 15) as bigint) % {_FOLDS} as fold from cal)",
+    "outs as (select depth, held, fold, flux, avg(flux) filter (fold <> held) over (partition by depth, held, x) as p "
+    "from parts, held, settings)"))
 def search_space(spark, sf):
-    space = search.grid(**search.BOOST_GRID)
-    n = spark.read.parquet(f"{sf}/events.parquet").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("settings", F.lit(len(space)))
+    """Every setting of a grid, scored on every fold: on one yes-or-no feature more depth changes nothing."""
+    df = _two_leaves(spark, sf)
+    space = search.grid(maxDepth=[1, 2], maxIter=[1])
+    found = search.random_search(df, boost.boosted(), space, n=len(space), k=_FOLDS)
+    kept = found.select(F.col("maxDepth").cast("int").alias("maxDepth"), F.col("fold").cast("bigint").alias("fold"), "r2", "neg_rmse")
+    return rounded(kept, ["r2", "neg_rmse"], keep=("maxDepth", "fold"))
 
 
 @query("compare_approaches")

@@ -202,6 +202,22 @@ def pca_components(spark, sf):
     )
 
 
+@query("pca_k95", on_cal(
+    "select case when share >= 95e-2 then 1 else 2 end as k95, " + sql_rounded({"explained": "share"}) + ", n from "
+    "(select (1e0 + abs(corr(flux, 3e0*flux + 5e-3*xpos))) / 2e0 as share, count(*) as n from cal)"))
+def pca_k95(spark, sf):
+    """Components for 95 % of two standardised columns, whose shares their correlation gives."""
+    df = cal(spark, sf).selectExpr("idx", "flux", "3e0*flux + 5e-3*xpos as other")
+    packed = VectorAssembler(inputCols=["flux", "other"], outputCol="features").transform(df)
+    scaled = scale.PopulationScaler().fit(packed).transform(packed)
+    pca = decompose.CenteredPCA(inputCol="scaled").fit(scaled)
+    out = df.agg(
+        F.lit(decompose.components_for(pca, 0.95)).alias("k95"), F.lit(float(decompose.pca_summary(pca)[0][0])).alias("explained"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return rounded(out, ["explained"], keep=("k95", "n"))
+
+
 _IDENTITY = "select i, j, case when i = j then 1e0 else 0e0 end as cov from " \
             "(select unnest(range({0})) as i), (select unnest(range({0})) as j)"
 
