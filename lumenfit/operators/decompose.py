@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -19,6 +21,9 @@ from lumenfit.operators.scale import (
 )
 from lumenfit.session import materialise_for_passes
 
+MEMORY = 7  # steps remembered by a descent
+SMALLEST = 2.0**-10  # shortest part of a step tried
+FLATTEST = 1e-2  # smallest curvature divided by
 INLINE_TERMS = 600  # beyond this many products a linear map is a loop instead of generated code
 
 
@@ -120,7 +125,8 @@ class RotationModel(Model, _InOut):
 
     matrix = Param(Params._dummy(), "matrix", "row-major map", TypeConverters.toListFloat)
     rows = Param(Params._dummy(), "rows", "output length", TypeConverters.toInt)
-    iterations = Param(Params._dummy(), "iterations", "fixed-point steps taken", TypeConverters.toInt)
+    iterations = Param(Params._dummy(), "iterations", "passes over the rows", TypeConverters.toInt)
+    change = Param(Params._dummy(), "change", "largest entry of the last gradient", TypeConverters.toFloat)
 
     def as_array(self) -> np.ndarray:
         return np.array(self.getOrDefault(self.matrix)).reshape(self.getOrDefault(self.rows), -1)
@@ -137,16 +143,26 @@ def _decorrelate(w: np.ndarray) -> np.ndarray:
     return u @ np.diag(1.0 / np.sqrt(np.maximum(s, 1e-15))) @ u.T @ w
 
 
-class SymmetricICA(Estimator, _InOut):
-    """D-I1: independent components by the symmetric fixed point with a tanh contrast.
+def _rotation(skew: np.ndarray) -> np.ndarray:
+    """The orthogonal exponential of a skew-symmetric matrix."""
+    lam, v = np.linalg.eigh(1j * skew)
+    return ((v * np.exp(-1j * lam)) @ v.conj().T).real
+
 
-    The data are whitened once and kept; each iteration is one job in which every task adds up
-    ``z g(Wz)'`` and ``g'(Wz)`` over its Arrow batches and Spark sums the k*k + k partial sums per cell. Only
-    the k by k matrix reaches the driver. Every iteration, the first included, reads all rows.
+class SymmetricICA(Estimator, _InOut):
+    """D-I1: independent components with a tanh contrast, by a preconditioned quasi-Newton descent over rotations.
+
+    The data are whitened once and kept. One pass over all rows gives, per task and added up by Spark, the k*k + 2k sums of
+    ``g(y) z'``, ``g'(y)`` and ``log cosh y`` for ``y = Wz``: from them the driver has the loss, its skew gradient and the
+    diagonal Hessian that holds where the components are independent, which preconditions a limited-memory step. A step that
+    raises the loss is halved. A component's contrast is minimised or maximised by the sign of ``E[g'(y)] - E[g(y) y]``, so
+    flat and peaked sources are both found; stationary points are those of the symmetric fixed point, reached also where
+    near-normal components make it circle. It ends when no entry of the gradient exceeds ``tol``, or after ``maxIter`` passes;
+    the model tells passes (``iterations``) and the last largest entry (``change``).
     """
 
     k = Param(Params._dummy(), "k", "components, 0 for all", TypeConverters.toInt)
-    maxIter = Param(Params._dummy(), "maxIter", "largest number of iterations", TypeConverters.toInt)
+    maxIter = Param(Params._dummy(), "maxIter", "largest number of passes", TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "convergence tolerance", TypeConverters.toFloat)
     seed = Param(Params._dummy(), "seed", "seed of the starting matrix", TypeConverters.toInt)
 
@@ -170,41 +186,92 @@ class SymmetricICA(Estimator, _InOut):
             w = _decorrelate(
                 np.random.default_rng(self.getOrDefault(self.seed)).normal(size=(len(keep), len(keep)))
             )
-            w, steps = self._iterate(z, w, keep, n)
+            w, passes, change = self._iterate(z, w, keep, n)
         finally:
             z.unpersist()
         full = np.zeros((len(keep), len(np.array(factor))))
         full[:, keep] = w
         rotate = RotationModel()._set(
             inputCol=f"_{out}_white", outputCol=out, matrix=full.ravel().tolist(),
-            rows=len(keep), iterations=steps,
+            rows=len(keep), iterations=passes, change=change,
         )
         return PipelineModel([white, rotate, ColumnDropper(names=[f"_{out}_white"])])
 
-    def _iterate(self, z: DataFrame, w: np.ndarray, keep: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-        steps, change, tasks = 0, np.inf, z.rdd.getNumPartitions()
-        while steps < self.getOrDefault(self.maxIter) and change >= self.getOrDefault(self.tol):
-            new = _decorrelate(_contrast_step(z, w, keep, n, tasks))
-            change = float(np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1.0)))
-            w, steps = new, steps + 1
-        return w, steps
-
-
-def _contrast_step(z: DataFrame, w: np.ndarray, keep: np.ndarray, n: int, tasks: int) -> np.ndarray:
-    """One unnormalised fixed-point update: ``E[g(Wz) z'] - diag(E[g'(Wz)]) W``."""
+    def _iterate(self, z: DataFrame, w: np.ndarray, keep: np.ndarray, n: int) -> tuple[np.ndarray, int, float]:
+        tasks, limit, passes = z.rdd.getNumPartitions(), self.getOrDefault(self.maxIter), 1
+        memory, at = deque(maxlen=MEMORY), _contrast(z, w, keep, n, tasks)
+        while at.change >= self.getOrDefault(self.tol) and passes < limit:
+            step, size, moved = _direction(at, memory), 1.0, None
+            while passes < limit and size > SMALLEST:
+                trial = _decorrelate(_rotation(size * step) @ w)
+                new, passes = _contrast(z, trial, keep, n, tasks), passes + 1
+                if new.loss(at.sign) < at.loss(at.sign):
+                    moved = size * step
+                    break
+                size /= 2
+            if moved is None:
+                if not memory:
+                    break  # no descent left beyond rounding
+                memory.clear()
+                continue
+            if (new.sign == at.sign).all():
+                bend = new.gradient - at.gradient
+                if (bend * moved).sum() > 0:
+                    memory.append((moved, bend))
+            else:
+                memory.clear()  # another loss from here on
+            w, at = trial, new
+        return w, passes, at.change
+
+
+class _Contrast:
+    """Loss, skew gradient and diagonal Hessian of one rotation, from the means of a pass."""
+
+    def __init__(self, products: np.ndarray, slopes: np.ndarray, costs: np.ndarray):
+        excess = slopes - np.diag(products)
+        self.sign, self.costs = np.where(excess < 0, -1.0, 1.0), costs
+        signed = self.sign[:, None] * products
+        self.gradient = (signed - signed.T) / 2
+        self.hessian = np.maximum((np.abs(excess)[:, None] + np.abs(excess)) / 2, FLATTEST)
+        self.change = float(np.abs(self.gradient).max(initial=0.0))
+
+    def loss(self, sign: np.ndarray) -> float:
+        return float((sign * self.costs).sum())
+
+
+def _direction(at: _Contrast, memory) -> np.ndarray:
+    """The limited-memory step, preconditioned by the diagonal Hessian; the plain one where it would not descend."""
+    q, scales = at.gradient.copy(), []
+    for moved, bend in reversed(memory):
+        a = (moved * q).sum() / (moved * bend).sum()
+        scales.append(a)
+        q = q - a * bend
+    q = q / at.hessian
+    for (moved, bend), a in zip(memory, reversed(scales)):
+        q = q + (a - (bend * q).sum() / (moved * bend).sum()) * moved
+    if (q * at.gradient).sum() <= 0:
+        memory.clear()
+        q = at.gradient / at.hessian
+    return -q
+
+
+def _contrast(z: DataFrame, w: np.ndarray, keep: np.ndarray, n: int, tasks: int) -> _Contrast:
+    """One pass over all rows at the rotation ``w``."""
     k = len(keep)
 
     def partial(batches):
-        total = np.zeros(k * k + k)
+        total = np.zeros(k * k + 2 * k)
         for batch in batches:
             x = matrix(batch.column("z"))[:, keep]
-            g = np.tanh(x @ w.T)
+            y = x @ w.T
+            g = np.tanh(y)
             total[: k * k] += (g.T @ x).ravel()
-            total[k * k:] += (1.0 - g * g).sum(axis=0)
+            total[k * k: k * k + k] += (1.0 - g * g).sum(axis=0)
+            total[k * k + k:] += (np.logaddexp(y, -y) - np.log(2.0)).sum(axis=0)
         yield cells(total)
 
     sums = np.array(sum_cells(z.mapInArrow(partial, CELLS), tasks)) / n
-    return sums[: k * k].reshape(k, k) - sums[k * k:, None] * w
+    return _Contrast(sums[: k * k].reshape(k, k) @ w.T, sums[k * k: k * k + k], sums[k * k + k:])
 
 
 def build_pipeline(

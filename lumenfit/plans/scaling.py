@@ -261,7 +261,7 @@ def ica(spark, sf):
     """Independent components have unit variance and no correlation."""
     df = assembled(cal(spark, sf))
     df = scale.PopulationScaler().fit(df).transform(df)
-    model = decompose.SymmetricICA(inputCol="scaled", maxIter=25).fit(df)
+    model = decompose.SymmetricICA(inputCol="scaled").fit(df)
     return _cov_of(model.transform(df), "sources", len(FEATURES))
 
 
@@ -286,7 +286,7 @@ def ica_kurtosis(spark, sf):
     """How far from normal each recovered component is."""
     df = assembled(cal(spark, sf))
     df = scale.PopulationScaler().fit(df).transform(df)
-    model = decompose.SymmetricICA(inputCol="scaled", maxIter=25).fit(df)
+    model = decompose.SymmetricICA(inputCol="scaled").fit(df)
     x = model.transform(df).select(F.posexplode(vector_to_array("sources")).alias("component", "v"))
     return x.groupBy("component").agg(
         F.round(F.kurtosis("v"), 4).alias("kurtosis"), F.round(F.skewness("v"), 4).alias("skewness")

@@ -11,7 +11,7 @@ from lumenfit.plans import catalog
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-SLOW = {"rf_ica", "ica", "ica_kurtosis", "rf_rfi_ica"}  # many iterations; exercised by test_scale on small data
+SLOW = {"rf_ica", "rf_rfi_ica"}  # many iterations; exercised by test_scale on small data
 
 
 @pytest.fixture(scope="module")

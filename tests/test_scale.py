@@ -77,6 +77,47 @@ def test_ica_recovers_two_mixed_sources(spark, parts, tmp_path):
     assert corr.max(axis=1).min() > 0.98 and set(corr.argmax(axis=1)) == {0, 1}
 
 
+def _excess(y):
+    g = np.tanh(y)
+    products = g.T @ y / len(y)
+    return products, (1 - g * g).mean(axis=0) - np.diag(products)
+
+
+def test_ica_reaches_a_stationary_rotation_beside_normal_components(spark):
+    """Two normal columns leave a free plane, where the plain fixed point does not settle."""
+    rng = np.random.default_rng(5)
+    s = np.column_stack([rng.laplace(size=3000), rng.random(3000), rng.normal(size=3000), rng.normal(size=3000)])
+    df = vectors(spark, s @ rng.normal(size=(4, 4)), 3)
+    model = decompose.SymmetricICA(tol=1e-6).fit(df)
+    fitted = next(m for m in decompose._stages(model) if isinstance(m, decompose.RotationModel))
+    assert fitted.getOrDefault("change") < 1e-6 and fitted.getOrDefault("iterations") < 100
+    got = matrix(model.transform(df), "sources")
+    products, excess = _excess(got)
+    signed = np.sign(excess)[:, None] * products
+    assert np.abs(signed - signed.T).max() / 2 < 1e-5
+    # a further step of the fixed point leaves such a rotation where it is
+    new = products - np.diag(products.diagonal() + excess)
+    u, _, v = np.linalg.svd(new)
+    assert np.allclose(np.abs(u @ v), np.eye(4), atol=1e-3)
+
+
+def test_ica_stops_at_its_limit(spark):
+    df = vectors(spark, np.random.default_rng(6).normal(size=(300, 3)) ** 3, 2)
+    fitted = decompose._stages(decompose.SymmetricICA(maxIter=2, tol=0.0).fit(df))
+    assert next(m for m in fitted if isinstance(m, decompose.RotationModel)).getOrDefault("iterations") == 2
+
+
+def test_rotation_is_the_exponential():
+    a = np.random.default_rng(7).normal(size=(4, 4))
+    a = a - a.T
+    series, term = np.eye(4), np.eye(4)
+    for i in range(1, 60):
+        term = term @ a / i
+        series = series + term
+    assert np.allclose(decompose._rotation(a), series)
+    assert np.allclose(series @ series.T, np.eye(4))
+
+
 def test_linear_map_inline_and_looped(spark, monkeypatch):
     m = np.random.default_rng(3).normal(size=(3, 4))
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "a array<double>")

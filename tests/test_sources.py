@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from lumenfit import schema
+from lumenfit.operators import metrics
 from lumenfit.operators.features import CalibrationPrep
 from lumenfit.operators.linear import PixelLinearModel
 from lumenfit.session import ensure_checkpoint_dir
@@ -66,6 +67,37 @@ def test_stream_scores_new_files_once(spark, files, cal_df, tmp_path):
     assert both[0] == both[1]
 
 
+def test_residual_stream_keeps_one_row_per_file_over_batches_and_restarts(spark, files, cal_df, tmp_path):
+    model = Pipeline(stages=[CalibrationPrep(), PixelLinearModel()]).fit(cal_df)
+    inbox, out = tmp_path / "inbox", str(tmp_path / "sums")
+    inbox.mkdir()
+    parts = {k: pd.read_csv(files / f"star_{k}.csv", float_precision="round_trip") for k in ("a1", "b2")}
+
+    def arrive(key, number, rows):
+        where = inbox / f"part{number}"
+        where.mkdir()
+        parts[key].iloc[rows].to_csv(where / f"star_{key}.csv", index=False)
+
+    def run():
+        stream = scoring.stream_targets(spark, f"{inbox}/*", max_files=1)
+        scoring.residual_stream(stream, model, out, str(tmp_path / "cp")).awaitTermination()
+        rows = scoring.read_residuals(spark, out).collect()
+        return {r["file_key"]: (r["n"], round(r["r2"], 8), round(r["chisq"], 4)) for r in rows}
+
+    for i in range(3):
+        arrive("a1", i, slice(100 * i, 100 * i + 100))
+    assert {k: v[0] for k, v in run().items()} == {"a1": 300}
+    arrive("b2", 3, slice(0, 150))
+    arrive("b2", 4, slice(150, 400))
+    got = run()  # a new query on the stored state
+    assert run() == got  # nothing new
+    assert sorted(p.name for p in (tmp_path / "sums").iterdir()) == ["slot=0", "slot=1"]
+    batch = model.transform(tables.read_targets(spark, str(files / "star_*.csv")))
+    scores = metrics.r2(batch, by="file_key").join(metrics.chisq(batch, by="file_key"), "file_key").join(
+        batch.groupBy("file_key").count(), "file_key").collect()
+    assert got == {r["file_key"]: (r["count"], round(r["r2"], 8), round(r["chisq"], 4)) for r in scores}
+
+
 def test_variants_prune_to_one_partition(spark, cal_df, tmp_path):
     from lumenfit.plans.scaling import variant_vectors
 
