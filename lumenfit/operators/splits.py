@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfit.functions.hashing import DRAWS, HASH_BITS, hash60, md5_key, poisson1, uniform, unit, word_of
+from lumenfit.functions.hashing import DRAWS, HASH_BITS, hash60, key_string, md5_key, poisson1, uniform, unit, word_of
 from lumenfit.operators.common import join_on
 from lumenfit.operators.index import with_dense_index
 
 SELECT_AT_MOST = 20_000
+LISTED_AT_MOST = 1_000  # digests of one split sorted in an array
 
 
 def _ceil(x: float) -> int:
@@ -73,6 +74,50 @@ def hash_split(
     return _split_at(df, key, seed, lambda n: [("test", _ceil(test_size * n)), ("train", n)])
 
 
+def split_cuts(df: DataFrame, plans: list[tuple[float, int]], key="idx") -> list[str]:
+    """The digest below which a row is a test row of :func:`hash_split`, for many (test share, seed) at once.
+
+    All splits are narrowed together: one aggregate keyed (split, part of its digest range) counts them, Spark finds the part
+    that holds each rank, and the driver receives one row per split. An empty text cuts off no row, ``g`` every row.
+    """
+    n = df.count()
+    ends = [_ceil(share * n) for share, _ in plans]
+    cuts = {i: "" if end <= 0 else "g" for i, end in enumerate(ends) if not 0 < end < n}
+    wide = {i: (0, 2**HASH_BITS, end) for i, end in enumerate(ends) if i not in cuts}
+    narrow = {}
+
+    def inside(ranges: dict) -> DataFrame:
+        listed = F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(str(plans[i][1])).alias("seed"), F.lit(low).cast("bigint").alias("low"),
+                     F.lit(width).cast("bigint").alias("width"), F.lit(rank).cast("bigint").alias("rank"))
+            for i, (low, width, rank) in ranges.items()
+        ])
+        rows = df.select(key_string(key).alias("_k"), F.explode(listed).alias("s")).select("_k", "s.*")
+        rows = rows.withColumn("d", F.md5(F.concat_ws(":", "_k", "seed")))
+        rows = rows.withColumn("h", F.conv(F.substring("d", 1, HASH_BITS // 4), 16, 10).cast("bigint"))
+        return rows.where("h >= low and h - low < width")
+
+    while wide:
+        counts = inside(wide).groupBy("i", "low", "width", "rank", F.expr("(h - low) div (width div 4096)").alias("part")).count()
+        upto = F.sum("count").over(Window.partitionBy("i").orderBy("part"))  # at most 4,096 rows
+        found = counts.withColumn("below", upto - F.col("count")).where("below <= rank and rank < below + count").collect()
+        wide = {}
+        for r in found:
+            step = r["width"] >> 12
+            at = (r["low"] + r["part"] * step, step, r["rank"] - r["below"])
+            (narrow if r["count"] <= LISTED_AT_MOST or step == 1 else wide)[r["i"]] = at
+    if narrow:
+        picked = F.element_at(F.sort_array(F.collect_list("d")), F.col("rank").cast("int") + 1)
+        cuts.update((r["i"], r["cut"]) for r in inside(narrow).groupBy("i", "rank").agg(picked.alias("cut")).collect())
+    return [cuts[i] for i in range(len(plans))]
+
+
+def held_out(plans: list[tuple[float, int]], cuts: list[str], key="idx") -> Column:
+    """An array saying, for each (test share, seed), whether a row is a test row; see :func:`split_cuts`."""
+    listed = F.array(*[F.struct(F.lit(str(seed)).alias("seed"), F.lit(cut).alias("cut")) for (_, seed), cut in zip(plans, cuts)])
+    return F.transform(listed, lambda s: F.md5(F.concat_ws(":", key_string(key), s["seed"])) < s["cut"])
+
+
 def hash_split3(df: DataFrame, key="idx", fracs=None, seed: int = 42) -> DataFrame:
     """P-2 / P-3: three-way split, e.g. ``{"val": .2, "test": .4, "train": .4}``.
 

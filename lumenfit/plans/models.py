@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from lumenfit import schema
 from lumenfit.functions import kernels
 from lumenfit.functions.hashing import draw_sql, poisson1_sql, uniform_sql
-from lumenfit.operators import boost, features as fe, forest, median, metrics, neural, scale, search, splits
+from lumenfit.operators import boost, features as fe, forest, median, metrics, neural, runtable, scale, search, splits
 from lumenfit.operators.common import spread
 from lumenfit.operators.ensemble import predict_as
 from lumenfit.operators.linear import PixelLinearModel
@@ -24,7 +24,7 @@ from lumenfit.plans.features import MED, PIX_SUM
 from lumenfit.plans.registry import on_cal, query, rnd, rounded, sql_rnd, sql_rounded
 from lumenfit.schema import FLUX_SCALED, PIXELS
 from lumenfit.session import scratch_path
-from lumenfit.sources import models, tables
+from lumenfit.sources import models, runs, tables
 from lumenfit.streaming import scoring
 
 # --- pixel linear model, checked against least squares by successive orthogonalisation in SQL --------------
@@ -235,6 +235,46 @@ def runs_chisq(spark, sf):
     return _rescored(search.rescore_all(spark, _stored_runs(spark, sf, _RUNS), [*_RUNS], cal(spark, sf)))
 
 
+# A thousand small networks whose weights follow from the run's number, on three features.
+_NET = ["xpos - 145e-1", "ypos - 145e-1", "pix5"]
+_SPEC = '{"kind": "dense", "n_in": 3, "hidden": [2], "batch_norm": false, "dropout": 0.0, "activation": "relu"}'
+_WEIGHT = "((run*{0} + {1}) % 23 - 11) / 100e0"  # of the hidden layer
+_SHARES = {"test_size": "(case when run % 2 = 0 then 25e-2 else 75e-2 end)", "random_state": "run % 4"}
+_HIDDEN = [[_WEIGHT.format(7 + i, 3 * j) for j in range(2)] for i in range(3)]
+_OUT = ["5e-1", "-25e-2", "4e-1 + run/1e5"]
+
+
+def _units(x: list[str]) -> list[str]:
+    return [f"greatest(0e0, {' + '.join(f'({e})*({_HIDDEN[i][j]})' for i, e in enumerate(x))} + 1e-2)" for j in range(2)]
+
+
+@query("registry_scores", on_cal(
+    "select path, count(*) filter (not test) as n_train, count(*) filter (test) as n_test, " + sql_rounded({
+        **{f"{part}_r2_pct": f"1e2*(1e0 - sum((flux-p)*(flux-p)) filter ({on}) / (var_pop(flux) filter ({on}) * count(*) filter ({on})))"
+           for part, on in (("train", "not test"), ("test", "test"))},
+        **{f"red_chisq_{part}": f"3e0*sum((flux-p)*(flux-p)/(fluxerr*fluxerr)) filter ({on}) / count(*) filter ({on})"
+           for part, on in (("train", "not test"), ("test", "test"))},
+    }, 4) + " from scored group by path",
+    "runs as (select *, concat('saves_nnl1_nnn2_nc1_bs32_lr0.001_ne', run, '_ts', case when run % 2 = 0 then '0.25' else '0.75' end, "
+    "'_rs', run % 4, '_PP1_PCA0/') as path from (select unnest(range(1, 1001)) as run))",
+    "drawn as (select *, row_number() over (partition by seed order by md5(idx || ':' || seed)) as place, "
+    "count(*) over (partition by seed) as n from cal, (select unnest(range(4)) as seed))",
+    f"scored as (select path, flux, fluxerr, place <= ceil({_SHARES['test_size']} * n) as test, "
+    f"{' + '.join(f'({o})*{u}' for o, u in zip(_OUT, _units(_NET)))} + {_OUT[2]} as p from drawn join runs on seed = run % 4)"))
+def registry_scores(spark, sf):
+    """Every one of a thousand stored networks scored on its own split, in one pass over the table."""
+    settings = {"n_nalu_layers": "1", "n_nalu_neurons": "2", "n_classes": "1", "batch_size": "32", "learning_rate": "1e-3",
+                "n_epochs": "run", **_SHARES, "pre_process": "true", "pca_transform": "false"}
+    stored = runs.compose_run(spark.range(1, 1001).selectExpr("id as run").selectExpr("run", *[f"{e} as {c}" for c, e in settings.items()]))
+    flat = [w for row in _HIDDEN for w in row] + ["1e-2", "1e-2"] + _OUT
+    table = scratch_path(spark, "registry")
+    runtable.store_runs(stored.withColumns({"spec": F.lit(_SPEC), "weights": F.expr(f"array({', '.join(flat)})")}), table)
+    df = cal(spark, sf).selectExpr("idx", "flux", "fluxerr", f"array({', '.join(_NET)}) as features")
+    out = runtable.score_runs(df, spark.read.parquet(table))
+    out = out.withColumns({f"red_chisq_{p}": 3.0 * F.col(f"chisq_{p}") / F.col(f"n_{p}") for p in ("train", "test")})
+    return rounded(out, ["train_r2_pct", "test_r2_pct", "red_chisq_train", "red_chisq_test"], 4, keep=("path", "n_train", "n_test"))
+
+
 @query("split_saved", on_cal(
     "select split, count(*) as n from (select case when r <= ceil(25e-2*n) then 'test' else 'train' end as split "
     "from (select row_number() over (order by md5(idx || ':42')) as r, count(*) over () as n from cal)) "
