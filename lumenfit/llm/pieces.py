@@ -4,6 +4,8 @@ A batch's texts are cut into words (white space marks with the characters up to
 and distinct words that the worker does not remember are encoded together: one flat array of symbols, the rank of every
 adjacent pair, the minimum per word, and in each round all words merge their leftmost pairs of minimum rank at once. Several
 pairs of one word merge in the same round as long as no merge makes a pair that would have come first; then the rest wait.
+A word is cut once more between characters that stand side by side in no piece, as no merge crosses there; the parts take
+their rounds together, so that unbroken words of a megabyte need hardly more rounds than short ones.
 Words whose pairs have no rank left drop out, and the arrays are compacted. Symbols without a piece become byte pieces.
 
 Only vocabulary files of BPE type with byte fallback, identity normalisation and kept white space are accepted.
@@ -102,6 +104,8 @@ class Vocabulary:
         for t, i in number.items():
             if len(t) == 1:
                 self.char[ord(t)] = i
+        # Characters that stand side by side in a piece.
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for t in number for a, b in zip(t, t[1:])}), dtype=np.int64)
         # Equal scores share a rank, so that the leftmost of them wins.
         rank = np.unique(-score, return_inverse=True)[1]
         found = {}
@@ -153,8 +157,12 @@ class Vocabulary:
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = self.char[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
-        where = np.repeat(np.arange(len(words)), sizes)  # the word of each symbol
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        symbols = self.char[codes]
+        word = np.repeat(np.arange(len(words)), sizes)
+        new = np.r_[True, (word[1:] != word[:-1]) | ~self._side_by_side(codes)]
+        where = np.cumsum(new) - 1  # the part of a word that each symbol belongs to
+        word = word[new]
         done_symbols, done_where = [], []
         # The pair of symbol i is (i, i + 1); the last symbol of a word has none.
         rank, piece = self._ranks(symbols, where)
@@ -186,7 +194,14 @@ class Vocabulary:
             rank[touched], piece[touched] = self._ranks(symbols, where, touched)
         symbols, where = np.concatenate(done_symbols), np.concatenate(done_where)
         order = np.argsort(where, kind="stable")
-        return self._with_bytes(symbols[order], where[order], len(words))
+        return self._with_bytes(symbols[order], word[where[order]], len(words))
+
+    def _side_by_side(self, codes: np.ndarray) -> np.ndarray:
+        """Whether some piece has each character and the next one in that order."""
+        keys = codes[:-1] << 21 | codes[1:]
+        if not len(self.beside):
+            return np.zeros(len(keys), dtype=bool)
+        return self.beside[np.minimum(np.searchsorted(self.beside, keys), len(self.beside) - 1)] == keys
 
     def _ranks(self, symbols: np.ndarray, where: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(len(symbols)) if at is None else at
@@ -253,7 +268,6 @@ def _readable(raw: bytes) -> str:
 
 
 
-
 class Encoder:
     """Encodes texts with a vocabulary and remembers the ids of words."""
 
@@ -269,16 +283,16 @@ class Encoder:
         raw = ids.astype("<u4").tobytes()
         bounds = [0, *(4 * ends).tolist()]
         now = {w: raw[a:b] for w, a, b in zip(fresh, bounds, bounds[1:])}
-        if len(self.known) + len(now) > REMEMBERED:
-            old, self.known = self.known, {}
-            get = {**old, **now}.__getitem__
-        else:
-            self.known.update(now)
-            get = self.known.__getitem__
+        full = len(self.known) + len(now) > REMEMBERED
+        self.known.update(now)
+        get = self.known.__getitem__
         begin, end = (np.array([i], "<u4").tobytes() for i in (v.begin, v.end))
         out = [np.frombuffer(b"".join([begin, *map(get, words), end]), "<u4") for words in cut]
-        if not self.known:
-            self.known.update((w, i) for w, i in now.items() if len(w) <= LONG_WORD)
+        if full:
+            self.known = {w: i for w, i in now.items() if len(w) <= LONG_WORD}
+        else:
+            for w in [w for w in fresh if len(w) > LONG_WORD]:
+                del self.known[w]
         return out
 
 

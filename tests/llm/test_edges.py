@@ -509,3 +509,23 @@ def test_pieces_odd(spark, odd_docs, no_docs, library):
     want = [(i or 0, library.encode(t, add_bos=True, add_eos=True), library.decode(library.encode(t))) for i, t in texts]
     assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in got) == sorted(want)
     assert pieces.encoded_digests(no_docs).count() == 0
+
+
+def test_long_unbroken_words_are_encoded_whole_and_not_remembered(library):
+    """Letters, digits and signs without a gap: as the library, in a few rounds, and no memory kept of them."""
+    r = random.Random(11)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(r.choice(signs) for _ in range(200_000)), "".join(r.choice(signs[26:52]) for _ in range(100_000)), "ab" * 70_000]
+    encoder = pieces.Encoder(pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True)
+    assert max(map(len, encoder.known), default=0) <= pieces.LONG_WORD
+
+
+def test_words_are_cut_only_where_no_piece_crosses():
+    vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    inside = [t.decode().replace(" ", pieces.MARK) for t in vocabulary.bytes if t.isascii() and len(t) > 1]
+    codes = np.array([ord(c) for t in inside for c in t])
+    ends = np.cumsum([len(t) for t in inside]) - 1
+    within = np.delete(np.arange(len(codes) - 1), ends[:-1])
+    assert len(inside) > 10_000 and vocabulary._side_by_side(codes)[within].all()
