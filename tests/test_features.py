@@ -113,3 +113,13 @@ def test_sigma_clip_keeps_rows_without_a_value(spark):
     for robust in (False, True):
         kept = {r["idx"] for r in fe.sigma_clip(df, "x", robust=robust).select("idx").collect()}
         assert kept == set(range(400)) - {5}
+
+
+def test_ramp_over_equal_times(spark):
+    """A step of zero gives what SQL's division gives, not an error; one row has no step."""
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0), (3, 4.0)], "idx bigint, bmjd double")
+    got = [r["freq"] for r in fe.freq_ramp(rows).orderBy("idx").collect()]
+    assert np.isnan(got[0]) and got[1:] == [np.inf] * 3
+    assert [r["freq"] for r in fe.freq_ramp(rows.limit(1)).collect()] == [None]
+    steady = [r["freq"] for r in fe.freq_ramp(rows.where("idx <> 2")).orderBy("idx").collect()]
+    assert np.allclose(steady, np.linspace(np.pi / 3, 4 * np.pi, 3))
