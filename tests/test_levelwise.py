@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressionModel
 
@@ -140,3 +141,15 @@ def test_too_large_a_model(table, monkeypatch):
     monkeypatch.setattr(levelwise, "MAX_NODES", 20)
     with pytest.raises(ValueError, match="nodes"):
         forest.ExtraTrees(numTrees=8).fit(table[0])
+
+
+@pytest.mark.parametrize("bags", [True])
+def test_empty_partitions(spark, bags):
+    """A task without rows adds nothing: trees are those of the same rows without empty partitions."""
+    rows = spark.createDataFrame([(i, [float(i % 2), float(i)], float(i % 2)) for i in range(40)], "idx bigint, features array<double>, flux double")
+    kind = forest.OOBForest(numTrees=3, maxDepth=2) if bags else forest.ExtraTrees(numTrees=3, maxDepth=2)
+    x = rows.withColumn("features", array_to_vector("features"))
+    holes = x.repartition(8, "flux")
+    assert 0 in [len(p) for p in holes.rdd.glom().collect()]
+    got, want = (m.transform(x).orderBy("idx").collect() for m in (kind.fit(holes), kind.fit(x.coalesce(1))))
+    assert np.allclose([r.prediction for r in got], [r.prediction for r in want], atol=1e-9)
