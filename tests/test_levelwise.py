@@ -143,7 +143,7 @@ def test_too_large_a_model(table, monkeypatch):
         forest.ExtraTrees(numTrees=8).fit(table[0])
 
 
-@pytest.mark.parametrize("bags", [True])
+@pytest.mark.parametrize("bags", [True, False])
 def test_empty_partitions(spark, bags):
     """A task without rows adds nothing: trees are those of the same rows without empty partitions."""
     rows = spark.createDataFrame([(i, [float(i % 2), float(i)], float(i % 2)) for i in range(40)], "idx bigint, features array<double>, flux double")
