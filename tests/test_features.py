@@ -1,5 +1,7 @@
 """Feature engineering, resampling and metrics on closed-form cases."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,18 @@ def test_resample_is_deterministic_and_scaled(spark, cal_df):
     assert abs(np.corrcoef(z["zf"], z["zp"])[0, 1]) < 0.05
 
 
+def test_every_resampled_value_has_its_own_digests(spark):
+    """Box-Muller on two draws of 52 bits, one digest each, of (seed, row, draw, column)."""
+    rows = spark.createDataFrame([(i, 1.0, 0.5, 2.0, 0.25) for i in range(3)], "idx bigint, flux double, fluxerr double, xpos double, xerr double")
+
+    def drawn(i, k, c):
+        u = [(int(hashlib.md5(f"7:{i}:{k}:{c}:{part}".encode()).hexdigest()[:13], 16) + 0.5) * 2.0**-52 for part in ("radius", "angle")]
+        return np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])
+
+    for r in fe.resample(rows, n=2, seed=7).collect():
+        assert r.flux == pytest.approx(1 + 0.5 * drawn(r.idx, r.draw, "flux")) and r.xpos == pytest.approx(2 + 0.25 * drawn(r.idx, r.draw, "xpos"))
+
+
 def test_sigma_clip_to_convergence(spark):
     x = np.concatenate([np.random.default_rng(0).normal(size=2000), [30.0, 300.0, 3000.0]])
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
