@@ -1,6 +1,7 @@
 """Ordered operators, medians and splits: brute force on small data, forced through the large-table paths."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -187,3 +188,12 @@ def test_bootstrap_counts_do_not_depend_on_partitions(spark):
     flat = np.array(list(a.values()))
     assert abs(flat.mean() - 1) < 0.1 and abs((flat == 0).mean() - np.exp(-1)) < 0.05
     assert len({tuple(col) for col in flat.T}) == 5
+
+
+def test_every_bootstrap_count_from_its_own_digest(spark):
+    """The query's counts are Poisson quantiles at 52 bits of a digest of (seed, row, tree)."""
+    cdf = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(16)])
+    df = splits.bootstrap_weights(spark.range(40).withColumnRenamed("id", "idx"), n_trees=6, own_digests=True)
+    for r in df.collect():
+        u = [(int(hashlib.md5(f"42:{r.idx}:{t}".encode()).hexdigest()[:13], 16) + 0.5) * 2.0**-52 for t in range(6)]
+        assert list(r.w) == list(np.searchsorted(cdf, u, side="right"))
