@@ -177,3 +177,16 @@ def test_data_stays_on_the_cluster():
     text = "\n".join(p.read_text() for p in pathlib.Path(lumenfit.__file__).parent.rglob("*.py"))
     for word in ("localCheckpoint", "F.udf(", "crossJoin", ".toPandas(", "toLocalIterator", "pickle"):
         assert word not in text, word
+
+
+def test_target_files_are_few(spark, sf_dir, monkeypatch):
+    """Files, each a micro-batch of a stream, follow the rows of a key and not the tasks that write them."""
+    from lumenfit.plans import models as plans
+
+    many = plans.cal_targets(spark, sf_dir).repartition(16)
+    monkeypatch.setattr(plans, "cal_targets", lambda *_: many)
+    back = spark.read.option("header", True).csv(plans._target_files(spark, sf_dir))
+    assert back.count() == many.count() and len(back.inputFiles()) == back.select("file_key").distinct().count()
+    monkeypatch.setattr(plans, "FILE_ROWS", 50)
+    cut = spark.read.option("header", True).csv(plans._target_files(spark, sf_dir))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, back.collect()))
