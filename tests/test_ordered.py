@@ -197,3 +197,21 @@ def test_every_bootstrap_count_from_its_own_digest(spark):
     for r in df.collect():
         u = [(int(hashlib.md5(f"42:{r.idx}:{t}".encode()).hexdigest()[:13], 16) + 0.5) * 2.0**-52 for t in range(6)]
         assert list(r.w) == list(np.searchsorted(cdf, u, side="right"))
+
+
+@pytest.mark.parametrize("p", [0.25, 0.9])
+def test_grouped_quantiles_deal_to_few_buckets(spark, monkeypatch, p):
+    """However small a bucket may be, the number of buckets does not grow with the rows, and quantiles stay exact."""
+    parts, deal = [], median.with_order_buckets
+
+    def watched(*args, **kwargs):
+        cut, names = deal(*args, **kwargs)
+        parts.append(cut.rdd.getNumPartitions())
+        return cut, names
+
+    monkeypatch.setattr(median, "with_order_buckets", watched)
+    df = spark.range(6000).selectExpr("id % 3 as g", "cast(pmod(id * 7919, 6007) as double) as x")
+    got = {r["g"]: r["quantile"] for r in median.exact_quantile(df, "x", p, "g", small=2).collect()}
+    for g in range(3):
+        assert got[g] == pytest.approx(np.quantile([i * 7919 % 6007 for i in range(g, 6000, 3)], p), rel=1e-12)
+    assert parts and max(parts) <= 400
