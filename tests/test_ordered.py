@@ -199,7 +199,7 @@ def test_every_bootstrap_count_from_its_own_digest(spark):
         assert list(r.w) == list(np.searchsorted(cdf, u, side="right"))
 
 
-@pytest.mark.parametrize("p", [0.25, 0.9])
+@pytest.mark.parametrize("p", [0.25, 0.5, 0.9])
 def test_grouped_quantiles_deal_to_few_buckets(spark, monkeypatch, p):
     """However small a bucket may be, the number of buckets does not grow with the rows, and quantiles stay exact."""
     parts, deal = [], median.with_order_buckets
