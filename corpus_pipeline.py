@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfit.llm import langid, linededup, mixing, overlap, pieces
+from lumenfit.llm import langid, linededup, mixing, overlap, pieces, simhash
 from lumenfit.llm.common import documents, few, write_scratch
 
 
@@ -24,8 +24,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: texts with four fifths or more of their five-word shingles in common."""
-    return overlap.one_of_each(docs, words=5)
+    """One document of each class of near copies: texts with four fifths or more of their five-word shingles in common.
+
+    Fingerprints that differ in at most three bits propose pairs, as do rare shingles, which reach the near copies that
+    fingerprints miss; every pair is checked on the whole texts.
+    """
+    return overlap.one_of_each(docs, words=5, propose=simhash.candidates)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ table gives no rows; other columns are kept by :func:`one_of_each` and not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,12 +169,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return write_scratch(both.where(enough).select("a", "b"), "verified")
 
 
-def links(texts: DataFrame, words: int = 5) -> DataFrame:
-    """Verified links ``a, b`` that connect the nodes of ``texts`` (``node, text``) as all near copies would."""
+def links(texts: DataFrame, words: int = 5, proposed: DataFrame | None = None) -> DataFrame:
+    """Verified links ``a, b`` that connect the nodes of ``texts`` (``node, text``) as all near copies would.
+
+    Pairs ``a, b`` of nodes that another method proposes are verified with the first ones.
+    """
     met = write_scratch(_meetings(write_scratch(_prefixes(texts, words), "prefixes")), "meetings")
     room = _room(F.col("size"), F.col("pos"), F.col("hub_size"), F.col("hub_pos"))
     starts = met.where("node <> hub").unionByName(_hubs(met)).where(room)
-    first = _verified(starts.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, words)
+    pairs = starts.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = _verified(pairs if proposed is None else pairs.unionByName(proposed), texts, words)
     classes = write_scratch(components(first), "first-classes")
     named = met.select("h", "node", "size", "pos").join(few(classes), "node", "left")
     named = write_scratch(named.withColumn("component", F.coalesce("component", "node")), "named")
@@ -196,9 +200,11 @@ def _apart(rows: DataFrame) -> DataFrame:
     return one.join(two, (F.col("one.h") == F.col("two.h")) & once & near & (F.col("one.component") != F.col("two.component")))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                propose: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class of near copies.
 
+    ``propose`` takes the texts (``node, text``) and the words of a shingle and gives further pairs ``a, b`` to verify.
     An id names a document: repeated rows of an id stay or go together, and go only if none of them holds its class. A row
     without an id goes if its class has one.
     """
@@ -206,7 +212,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"))
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     nodes = write_scratch(rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
-    found = components(links(texts, words))
+    found = components(links(texts, words, propose(texts, words) if propose else None))
     named = write_scratch(
         nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named-nodes")
     holders = named.groupBy("component").agg(F.min("id").alias("holder"))

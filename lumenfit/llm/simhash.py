@@ -321,6 +321,17 @@ def _classes(prints: DataFrame, budget: int, node_rows: int = NODE_ROWS) -> Data
     return with_group(prints, write_scratch(groups.select("fp", "n", "component_id"), "classes"), "fp", "n", prints.count())
 
 
+def candidates(texts: DataFrame, words: int = 5, budget: int = 3) -> DataFrame:
+    """Pairs ``a, b`` of nodes of ``texts`` (``node, text``) that connect all nodes whose fingerprints link, for a further check.
+
+    Nodes of one fingerprint are paired with the smallest of them, fingerprints by :func:`links`: at most a pair per node each.
+    """
+    prints = write_scratch(fingerprints(texts, words, "node", "text").withColumnRenamed("doc_id", "b"), "fingerprints")
+    distinct = write_scratch(prints.groupBy("fp").agg(F.min("b").alias("a"), F.count("*").alias("n")), "distinct-fingerprints")
+    same = with_group(prints, distinct, "fp", "n", prints.count()).where("a <> b").select("a", "b")
+    return same.unionByName(links(distinct.select("fp", F.col("a").alias("id")), budget))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class.
 

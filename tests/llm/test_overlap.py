@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 from llm_reference import simhash64
-from lumenfit.llm import overlap
+from lumenfit.llm import overlap, simhash
 
 
 def shingles(text, words=5):
@@ -101,3 +101,32 @@ def test_a_family_below_the_limit_is_not_compared_pair_by_pair(spark, monkeypatc
     got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
     assert got == set(range(600)) - {7}
     assert sum(seen) < 20 * len(texts)
+
+
+def test_fingerprints_propose_pairs(spark, monkeypatch):
+    """The pipeline's near copies meet through the fingerprints' self-join too; what it proposes is checked like the rest."""
+    texts, seen, propose = _texts(120), [], simhash.candidates
+
+    def watched(*args):
+        seen.append(propose(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(simhash, "candidates", watched)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    of = copies(texts)
+    assert got == {i for i in texts if of[i] == i} and len(seen) == 1
+    # The pairs connect exactly the texts whose fingerprints are connected by links of three bits.
+    node = {r.node: simhash64(r.t, 5) for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as node").collect()}
+
+    def classes(pairs):
+        low = {n: n for n in node}
+        for a, b in pairs:
+            if low[a] != low[b]:
+                one, two = sorted((low[a], low[b]))
+                low = {n: one if c == two else c for n, c in low.items()}
+        return low
+
+    near = [(a, b) for a in node for b in node if a < b and (node[a] ^ node[b]).bit_count() <= 3]
+    pairs = [(r.a, r.b) for r in seen[0].collect()]
+    assert classes(pairs) == classes(near) and near and len(pairs) <= 2 * len(node)
