@@ -153,3 +153,18 @@ def test_empty_partitions(spark, bags):
     assert 0 in [len(p) for p in holes.rdd.glom().collect()]
     got, want = (m.transform(x).orderBy("idx").collect() for m in (kind.fit(holes), kind.fit(x.coalesce(1))))
     assert np.allclose([r.prediction for r in got], [r.prediction for r in want], atol=1e-9)
+
+
+@pytest.mark.parametrize("weights", [None])
+def test_sums_do_not_follow_the_partitions(spark, table, weights):
+    """Tasks emit a row for every node and feature: many partitions are read by few tasks, and trees stay the same."""
+    df, x, y = table
+    rows = bootstrap_weights(df, n_trees=3)
+    many, d, mean = levelwise.prepared(rows.repartition(90), "features", "flux", weights)
+    few, _, _ = levelwise.prepared(rows.coalesce(1), "features", "flux", weights)
+    assert many.rdd.getNumPartitions() <= levelwise.TASKS_PER_CORE * spark.sparkContext.defaultParallelism < 90
+    cuts = levelwise.quantile_cuts(few, d, 15) if weights else None
+    one, two = (levelwise.grow(data, d, 3, 4, cuts=cuts) for data in (many, few))
+    assert (one.feature == two.feature).all() and np.allclose(one.stats, two.stats) and one.feature.max() >= 0
+    for data in (many, few):
+        data.unpersist()
