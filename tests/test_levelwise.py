@@ -155,7 +155,7 @@ def test_empty_partitions(spark, bags):
     assert np.allclose([r.prediction for r in got], [r.prediction for r in want], atol=1e-9)
 
 
-@pytest.mark.parametrize("weights", [None])
+@pytest.mark.parametrize("weights", [None, "w"])
 def test_sums_do_not_follow_the_partitions(spark, table, weights):
     """Tasks emit a row for every node and feature: many partitions are read by few tasks, and trees stay the same."""
     df, x, y = table
