@@ -286,3 +286,11 @@ def test_random_search(spark, toy):
     best = search.search_summary(out, ["maxDepth", "maxIter"]).first()
     assert best["mean_r2"] == out.groupBy("setting").agg(F.avg("r2").alias("m")).agg(F.max("m")).first()[0]
     assert len(search.grid(**search.BOOST_GRID)) == 13 * 12 * 12
+
+
+def test_the_frame_of_a_query_is_stored(spark, sf_dir):
+    """Fits and scores read the prepared rows; none joins and normalises the tables again."""
+    from lumenfit.plans import models as plans
+
+    plan = plans._scaled_frame(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "parquet" not in plan.lower()
