@@ -3,7 +3,7 @@
 Rows are hashed into lanes, whose number depends on the row count alone, checkpointed and cached. An epoch is one job: every
 lane starts from the same weights, takes minibatch steps through its rows in an order hashed from epoch and key, and its
 weights count by its rows; the sums are added up by Spark, so the driver's part does not grow with the lanes. Lanes are dealt
-to tasks, which decides neither order nor steps: shards and cores do not change what is learned.
+to tasks, at most two per core or 64, which decides neither order nor steps: shards and cores do not change what is learned.
 Averaged local steps are not the sequential minibatch descent of a single machine; ``mode="sync"`` takes one
 full-gradient step per epoch instead, whose result does not depend on the sharding.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from lumenfit import schema
 from lumenfit.functions import kernels
 from lumenfit.functions.hashing import hash60
-from lumenfit.operators.common import sum_cells
+from lumenfit.operators.common import FEW_TASKS, sum_cells
 from lumenfit.session import materialise_for_passes
 
 # Sums kept per split while an epoch runs.
@@ -147,7 +147,7 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
     epochs = Param(Params._dummy(), "epochs", "passes over the data", TypeConverters.toInt)
     batch = Param(Params._dummy(), "batch", "minibatch rows", TypeConverters.toInt)
     lr = Param(Params._dummy(), "lr", "learning rate", TypeConverters.toFloat)
-    shards = Param(Params._dummy(), "shards", "partitions of the data, 0 for one per lane", TypeConverters.toInt)
+    shards = Param(Params._dummy(), "shards", "partitions of the data, 0 for one per lane up to twice the cores", TypeConverters.toInt)
     mode = Param(Params._dummy(), "mode", "average or sync", TypeConverters.toString)
     keepBest = Param(Params._dummy(), "keepBest", "keep the best test R2 weights", TypeConverters.toBoolean)
 
@@ -166,7 +166,7 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
         """Rows in their lanes, in a fixed order, as arrays."""
         err, split = self.getOrDefault(self.errCol), self.getOrDefault(self.splitCol)
         lanes = max(1, -(-df.count() // ROWS_PER_LANE))
-        shards = self.getOrDefault(self.shards) or lanes
+        shards = self.getOrDefault(self.shards) or min(lanes, max(FEW_TASKS, 2 * df.sparkSession.sparkContext.defaultParallelism))
         test = F.col(split) != "train" if split else F.lit(False)
         return df.select(
             hash60(self.getOrDefault(self.keyCol), self.getSeed()).alias("h"),

@@ -294,3 +294,15 @@ def test_the_frame_of_a_query_is_stored(spark, sf_dir):
 
     plan = plans._scaled_frame(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "parquet" not in plan.lower()
+
+
+@pytest.mark.parametrize("resume", [False])
+def test_lanes_are_dealt_to_few_tasks(toy, monkeypatch, resume):
+    """The tasks of an epoch follow the cores, not the rows; what is learned is that of a task per lane."""
+    monkeypatch.setattr(neural, "ROWS_PER_LANE", 4)
+    lanes = -(-toy.count() // 4)
+    ests = [neural.DenseRegressor(hidden=[3], dropout=0.0, epochs=2, shards=s) for s in (0, lanes)]
+    tasks = [e._prepared(toy).rdd.getNumPartitions() for e in ests]
+    assert tasks[0] <= max(64, 2 * toy.sparkSession.sparkContext.defaultParallelism) < tasks[1] == lanes
+    models = [e.resume(e.fit(toy), toy) if resume else e.fit(toy) for e in ests]
+    np.testing.assert_allclose(models[0].flat(), models[1].flat(), rtol=1e-9)
