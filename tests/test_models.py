@@ -296,7 +296,7 @@ def test_the_frame_of_a_query_is_stored(spark, sf_dir):
     assert "Join" not in plan and "parquet" not in plan.lower()
 
 
-@pytest.mark.parametrize("resume", [False])
+@pytest.mark.parametrize("resume", [False, True])
 def test_lanes_are_dealt_to_few_tasks(toy, monkeypatch, resume):
     """The tasks of an epoch follow the cores, not the rows; what is learned is that of a task per lane."""
     monkeypatch.setattr(neural, "ROWS_PER_LANE", 4)
