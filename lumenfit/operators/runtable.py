@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lumenfit.functions import kernels
 from lumenfit.operators.neural import NetworkModel, _features
 from lumenfit.operators.splits import held_out, split_cuts
-from lumenfit.session import ship_code
+from lumenfit.session import materialise, ship_code
 from lumenfit.sources import runs as names
 
 RUN_SCHEMA = "path string, spec string, weights array<double>"
@@ -41,16 +41,15 @@ def store_runs(rows: DataFrame, table: str) -> None:
 
 
 def _slices(runs: DataFrame) -> Iterator[list]:
-    """Runs in slices of bounded weight, so that the driver holds one slice at a time."""
-    held, size = [], 0
-    for r in runs.toLocalIterator():
-        if held and size + 8 * len(r["weights"]) > SLICE_BYTES:
-            yield held
-            held, size = [], 0
-        held.append((r["path"], (r["test_size"], r["random_state"]), json.loads(r["spec"]), np.array(r["weights"])))
-        size += 8 * len(r["weights"])
-    if held:
-        yield held
+    """Runs in slices of about bounded weight, so that the driver holds one slice at a time."""
+    held = materialise(runs.withColumn("_at", F.monotonically_increasing_id()))
+    weight, n = held.agg(F.sum(8 * F.size("weights")), F.count(F.lit(1))).first()
+    parts = min(n, max(1, -(-(weight or 0) // SLICE_BYTES)))
+    place = F.pmod(F.xxhash64("_at"), F.lit(parts))
+    for part in range(parts):
+        rows = held.where(place == part).collect()
+        if rows:
+            yield [(r["path"], (r["test_size"], r["random_state"]), json.loads(r["spec"]), np.array(r["weights"])) for r in rows]
 
 
 def score_runs(
