@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_reference import classes, clean_lines, edf, simhash64
 from pyspark.sql import functions as F
@@ -294,6 +296,23 @@ def test_language_blocks(spark, odd_docs, monkeypatch):
     assert langs == again and np.allclose(scores, same)
 
 
+def test_language_memory():
+    """A worker holds the texts and n-grams of a small part of its batch, whatever the batch."""
+    texts = ["ein kurzes wort " * 100, "", None, "é" * 1_000] * 600 + ["lang " * 60_000, None, "ende"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    model = langid.LanguageModel(("de", "en", "es", "fr"), np.zeros(4), np.zeros((1 << langid.BITS, 4)))
+    langid._letters()
+    tracemalloc.start()
+    ids, langs = [], []
+    for part, own in langid._parts(iter([batch.slice(0, 0), batch]), 1):
+        assert part.num_rows == 1 or sum(len(t.encode()) for t in own) <= langid.BLOCK
+        ids += part.column("doc_id").to_pylist()
+        langs += langid._predict(model, own)[0]
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20  # mostly the one long text's
+    tracemalloc.stop()
+    assert ids == list(range(len(texts))) and [x == "und" for x in langs] == [not t for t in texts]
+
+
 def test_prior_is_of_all_rows(spark):
     rows = [(i, "ein wort" if i % 10 else "a word", "de" if i % 10 else "en") for i in range(3_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
