@@ -168,3 +168,25 @@ def test_sums_do_not_follow_the_partitions(spark, table, weights):
     assert (one.feature == two.feature).all() and np.allclose(one.stats, two.stats) and one.feature.max() >= 0
     for data in (many, few):
         data.unpersist()
+
+
+def test_bags_are_drawn_in_batches(spark, monkeypatch):
+    """Counts follow their digests for any key, and no expression of the plan draws them one by one."""
+    monkeypatch.setattr("lumenfit.operators.splits.KEYS_AT_ONCE", 7)
+    rows = [(str(k) if k is not None else None, k) for k in [*range(40), -3, 1 << 60, None, None]]
+    table = spark.createDataFrame(rows, "name string, idx bigint").repartition(6, "idx")
+    for trees, key in ((10, "idx"), (3, "name")):
+        bags = bootstrap_weights(table, key, trees, 9)
+        assert "transform(" not in bags._jdf.queryExecution().executedPlan().toString()
+        for name, idx, w in bags.collect():
+            want = []
+            for t in range(trees):
+                text = f"9:{t // 4}" if idx is None else f"9:{idx}:{t // 4}"
+                word = int(hashlib.md5(text.encode()).hexdigest()[15 * (t % 4 // 2):][:15], 16)
+                u, p, k = ((word >> 30 if t % 2 == 0 else word & (1 << 30) - 1) + 0.5) / (1 << 30), np.exp(-1), 0
+                while u >= p:
+                    k += 1
+                    p += np.exp(-1) / np.prod(np.arange(1.0, k + 1))
+                want.append(k)
+            assert w == want
+    assert bootstrap_weights(table.where("idx > 1e19")).count() == 0
