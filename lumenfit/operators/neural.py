@@ -1,9 +1,10 @@
 """Networks trained data-parallel on Spark (R-14, R-17 .. R-20).
 
-Rows are hashed into lanes, whose number depends on the row count alone, checkpointed and cached. An epoch is one job: every
-lane starts from the same weights, takes minibatch steps through its rows in an order hashed from epoch and key, and its
+Rows are hashed into lanes, whose number depends on the row count alone, packed, checkpointed and cached. An epoch is one job:
+every lane starts from the same weights, takes minibatch steps through its rows in an order hashed from epoch and key, and its
 weights count by its rows; the sums are added up by Spark, so the driver's part does not grow with the lanes. Lanes are dealt
-to tasks, at most two per core or 64, which decides neither order nor steps: shards and cores do not change what is learned.
+to tasks, at most two per core or 64, and a task's lanes step side by side in stacked products; neither decides order or
+steps: shards and cores do not change what is learned.
 Averaged local steps are not the sequential minibatch descent of a single machine; ``mode="sync"`` takes one
 full-gradient step per epoch instead, whose result does not depend on the sharding.
 """
@@ -45,27 +46,88 @@ ROWS_PER_LANE = 10_000  # rows that one lane steps through between two averages
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)  # odd constants that spread bits
 
 
-def _lane_rows(batches):
-    """The rows of each lane as arrays; a task's batches come sorted by lane and key hash."""
-    held: list[pa.RecordBatch] = []
+STEP_BYTES = 64 << 20  # rows and weights of the lanes that a task steps through at a time
+
+# A lane's rows as stored for the passes: packed columns, one record for its part of an Arrow batch.
+_PACKED = {"h": np.int64, "x": np.float64, "y": np.float64, "e": np.float64, "t": np.bool_}
+_LANES = "lane long, n long, width int, y_n long, y_sum double, " + ", ".join(f"{c} binary" for c in _PACKED)
+_LANE_COLUMNS = [c.split()[0] for c in _LANES.split(", ")]
+
+
+def _pack(batches):
+    """Rows sorted by lane as records of packed columns, which a pass reads without taking rows apart."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        lanes = batch.column("lane").to_numpy()
+        if batch.column("t").null_count:
+            raise ValueError("rows without a split")
+        lanes, y = batch.column("lane").to_numpy(), batch.column("y")
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _PACKED if c != "x"}
+        columns["x"] = kernels.matrix(batch.column("x"))
+        there = y.is_valid().to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(np.diff(lanes)) + 1).tolist(), len(lanes)]
         for a, b in zip(cuts, cuts[1:]):
-            if held and held[-1].column("lane")[0].as_py() != lanes[a]:
-                yield _arrays(held)
+            part = there[a:b]
+            record = [lanes[a], b - a, columns["x"].shape[1], part.sum(), columns["y"][a:b][part].sum()]
+            record += [np.ascontiguousarray(columns[c][a:b], dtype).tobytes() for c, dtype in _PACKED.items()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), *[pa.binary()] * len(_PACKED)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(record, types)], _LANE_COLUMNS)
+
+
+def _lane_rows(batches):
+    """The rows of each lane as arrays; the records of a lane follow each other."""
+    now, held = None, []
+    for batch in batches:
+        columns = [batch.column(c) for c in _PACKED]
+        for i, lane in enumerate(batch.column("lane").to_pylist()):
+            if held and lane != now:
+                yield now, *_joined(held)
                 held = []
-            held.append(batch.slice(a, b - a))
+            now = lane
+            held.append([np.frombuffer(c[i].as_buffer(), k) for c, k in zip(columns, _PACKED.values())])
     if held:
-        yield _arrays(held)
+        yield now, *_joined(held)
+
 
+def _joined(records):
+    h, x, y, err, test = records[0] if len(records) == 1 else map(np.concatenate, zip(*records))
+    return x.reshape(len(h), -1), h, y, err, test
 
-def _arrays(batches):
-    table = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-    plain = [table.column(c).to_numpy(zero_copy_only=False) for c in ("h", "y", "e", "t")]
-    return int(table.column("lane")[0].as_py()), kernels.matrix(table.column("x")), *plain
+
+def _step_lanes(spec, flat, m, v, t, lr, batch, held):
+    """Minibatch steps through the rows of several lanes, given as (generator, x, y, err), all from the same weights.
+
+    Lanes step side by side in stacked products, each through its own rows with weights of its own, as if one after another.
+    Returns weights, both moments and the step count of each lane as one row.
+    """
+    order = sorted(range(len(held)), key=lambda i: -len(held[i][2]))  # lanes that still have rows stay in front
+    rngs, sizes = [held[i][0] for i in order], [len(held[i][2]) for i in order]
+    x = np.zeros((len(order), sizes[0], held[0][1].shape[1]))
+    y, err = np.zeros(x.shape[:2]), np.ones(x.shape[:2])
+    for at, i in enumerate(order):
+        for all_lanes, own in zip((x, y, err), held[i][1:]):
+            all_lanes[at, :sizes[at]] = own
+    w, m, v = (np.tile(a, (len(order), 1)) for a in (flat, m, v))
+
+    def step(lanes, rows, t):
+        p, cache = kernels.forward(spec, w[lanes], x[lanes, rows], True, rngs[lanes])
+        g = kernels.backward(spec, w[lanes], cache, kernels.loss_gradient(spec, p, y[lanes, rows], err[lanes, rows]))
+        t = kernels.adam(w[lanes], g, m[lanes], v[lanes], t, lr)
+        kernels.update_moving(spec, w[lanes], cache)
+        return t
+
+    left, ts = len(order), [t]
+    for k in range(sizes[0] // batch):
+        while sizes[left - 1] < (k + 1) * batch:
+            left -= 1
+        ts.append(step(slice(0, left), slice(k * batch, (k + 1) * batch), ts[-1]))
+    out = np.empty((len(order), 3 * len(flat) + 1))
+    for at, i in enumerate(order):
+        t1, rest = ts[sizes[at] // batch], sizes[at] % batch
+        if rest:
+            t1 = step(slice(at, at + 1), slice(sizes[at] - rest, sizes[at]), t1)
+        out[i] = np.concatenate([w[at], m[at], v[at], [t1]])
+    return out
 
 
 def _epoch_task(spec, flat, m, v, t, lr, batch, seed, epoch, mode, shift, learn):
@@ -74,6 +136,13 @@ def _epoch_task(spec, flat, m, v, t, lr, batch, seed, epoch, mode, shift, learn)
     def run(batches):
         total, grads = np.zeros(3 * len(flat) + 1), np.zeros_like(flat)
         trained, sums = 0, np.zeros((2, len(_SUMS)))
+        held, size = [], 0
+
+        def step_held():
+            for (_, _, own, _), row in zip(held, _step_lanes(spec, flat, m, v, t, lr, batch, held)):
+                np.add(total, len(own) * row, out=total)
+            held.clear()
+
         for lane, x, h, y, err, test in _lane_rows(batches):
             pred, _ = kernels.forward(spec, flat, x)
             diff, moved = pred - y, y - shift
@@ -97,14 +166,13 @@ def _epoch_task(spec, flat, m, v, t, lr, batch, seed, epoch, mode, shift, learn)
             key = (key ^ (key >> np.uint64(29))) * np.uint64(_MIX[1])
             rows = rows[np.lexsort((h[rows], key ^ (key >> np.uint64(32))))]
             rng = np.random.default_rng([seed, epoch, lane])  # dropout
-            w, m1, v1, t1 = flat.copy(), m.copy(), v.copy(), t
-            for at in range(0, len(rows), batch):
-                b = rows[at:at + batch]
-                p, cache = kernels.forward(spec, w, x[b], True, rng)
-                g = kernels.backward(spec, w, cache, kernels.loss_gradient(spec, p, y[b], err[b]))
-                t1 = kernels.adam(w, g, m1, v1, t1, lr)
-                kernels.update_moving(spec, w, cache)
-            total += len(rows) * np.concatenate([w, m1, v1, [t1]])
+            held.append((rng, x[rows], y[rows], err[rows]))
+            size += 8 * (len(rows) * (x.shape[1] + 2) + 3 * len(flat))
+            if size >= STEP_BYTES:
+                step_held()
+                size = 0
+        if held:
+            step_held()
         body = grads if mode == "sync" else total
         yield kernels.cells(np.concatenate([body, [trained], sums.ravel()]))
 
@@ -163,7 +231,7 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
         raise NotImplementedError
 
     def _prepared(self, df: DataFrame) -> DataFrame:
-        """Rows in their lanes, in a fixed order, as arrays."""
+        """Rows in their lanes, in a fixed order, packed."""
         err, split = self.getOrDefault(self.errCol), self.getOrDefault(self.splitCol)
         lanes = max(1, -(-df.count() // ROWS_PER_LANE))
         shards = self.getOrDefault(self.shards) or min(lanes, max(FEW_TASKS, 2 * df.sparkSession.sparkContext.defaultParallelism))
@@ -174,12 +242,20 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
             F.col(self.getLabelCol()).cast("double").alias("y"),
             (F.col(err).cast("double") if err else F.lit(1.0)).alias("e"),
             test.alias("t"),
-        ).withColumn("lane", F.col("h") % lanes).repartition(shards, "lane").sortWithinPartitions("lane", "h")
+        ).withColumn("lane", F.col("h") % lanes).repartition(shards, "lane").sortWithinPartitions("lane", "h").mapInArrow(_pack, _LANES)
+
+    def lanes(self, df: DataFrame) -> DataFrame:
+        """The rows in their lanes, stored; fits that share columns, key and seed can take this table in place of ``df``.
+
+        The caller unpersists it.
+        """
+        return materialise_for_passes(self._prepared(df))
 
     def _train(self, df: DataFrame, start: "NetworkModel | None" = None) -> "NetworkModel":
-        data = materialise_for_passes(self._prepared(df))
+        stored = df.columns == _LANE_COLUMNS
+        data = df if stored else self.lanes(df)
         try:
-            head = data.agg(F.max(F.size("x")), F.avg("y"), F.count(F.lit(1))).first()
+            head = data.agg(F.max("width"), F.sum("y_sum") / F.sum("y_n")).first()
             spec = start.spec() if start else self._spec(head[0])
             if self.getOrDefault(self.mode) == "sync" and (
                 spec.get("batch_norm") or spec.get("dropout")
@@ -188,7 +264,8 @@ class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed,
             flat = start.final() if start else kernels.initial(spec, self.getSeed())
             return self._epochs(data, spec, flat, float(head[1]), start)
         finally:
-            data.unpersist()
+            if not stored:
+                data.unpersist()
 
     def _epochs(self, data: DataFrame, spec: dict, flat, shift: float, start: "NetworkModel | None") -> "NetworkModel":
         mode, epochs = self.getOrDefault(self.mode), self.getOrDefault(self.epochs)

@@ -306,3 +306,74 @@ def test_lanes_are_dealt_to_few_tasks(toy, monkeypatch, resume):
     assert tasks[0] <= max(64, 2 * toy.sparkSession.sparkContext.defaultParallelism) < tasks[1] == lanes
     models = [e.resume(e.fit(toy), toy) if resume else e.fit(toy) for e in ests]
     np.testing.assert_allclose(models[0].flat(), models[1].flat(), rtol=1e-9)
+
+
+def lane_batch(sizes, width=3):
+    """Rows of lanes of the given sizes, as a task of the preparation gets them."""
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(5), sum(sizes)
+    x = rng.random((n, width))
+    return pa.RecordBatch.from_pydict({
+        "lane": np.repeat(np.arange(len(sizes)), sizes), "h": rng.integers(0, 2**60, n), "x": x.tolist(),
+        "y": x.sum(axis=1) + 0.1 * rng.random(n), "e": 0.5 + rng.random(n), "t": np.arange(n) % 4 == 3,
+    })
+
+
+@pytest.mark.parametrize("spec", [*SPECS[1:4], {**SPECS[3], "dropout": 0.3}], ids=str)
+def test_lanes_step_side_by_side(spec, monkeypatch):
+    """A task takes one step for all its lanes, not one after another; each lane learns what it learns alone."""
+    sizes, steps = [40, 37, 3, 64, 1], []
+    adam = kernels.adam
+    monkeypatch.setattr(kernels, "adam", lambda *a: steps.append(1) or adam(*a))
+    flat = kernels.initial(spec, 3)
+    zero = np.zeros_like(flat)
+
+    def run(batches):
+        steps.clear()
+        task = neural._epoch_task(spec, flat, zero, zero, 0.5, 0.01, 4, 7, 1, "average", 0.0, True)
+        return next(task(neural._pack(batches))).column(1).to_numpy(), len(steps)
+
+    rows = lane_batch(sizes)
+    together, n = run([rows])
+    longest = max(np.bincount(rows.column("lane").to_numpy()[~rows.column("t").to_numpy(zero_copy_only=False)])) // 4
+    assert n <= longest + len(sizes)  # whole steps of the longest lane, and one rest a lane
+    alone = sum(run([rows.slice(sum(sizes[:i]), k)])[0] for i, k in enumerate(sizes))
+    np.testing.assert_allclose(together, alone, rtol=1e-12)
+    in_parts, _ = run([rows.slice(0, 60), rows.slice(60, 0), rows.slice(60)])  # a lane in two Arrow batches
+    np.testing.assert_array_equal(together, in_parts)
+    monkeypatch.setattr(neural, "STEP_BYTES", 1)
+    np.testing.assert_array_equal(together, run([rows])[0])
+
+
+def test_lanes_are_packed_once_for_many_fits(toy, monkeypatch):
+    """Passes read records of many rows; fits from the stored lanes are those from the rows, resumed ones too."""
+    monkeypatch.setattr(neural, "ROWS_PER_LANE", 60)
+    est = neural.DenseRegressor(hidden=[6], dropout=0.2, epochs=2, lr=0.02)
+    whole = neural.DenseRegressor(hidden=[6], dropout=0.2, epochs=4, lr=0.02)
+    lanes = est.lanes(toy)
+    n, count = lanes.agg(F.sum("n"), F.count("lane")).first()
+    assert n == toy.count() and count <= 2 * -(-n // 60)
+    from_rows, from_lanes = est.fit(toy), est.fit(lanes)
+    np.testing.assert_allclose(from_rows.flat(), from_lanes.flat(), rtol=1e-12)
+    np.testing.assert_allclose(est.resume(from_lanes, lanes).flat(), whole.fit(lanes).flat(), rtol=1e-12)
+    assert lanes.storageLevel.useMemory  # the caller's table stays stored
+    lanes.unpersist()
+
+
+def test_rows_without_a_split_are_refused():
+    batch = lane_batch([4])
+    at = batch.schema.get_field_index("t")
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="split"):
+        list(neural._pack([batch.set_column(at, "t", pa.array([True, None, False, True]))]))
+
+
+def test_labels_that_are_null_stay_out_of_the_mean():
+    import pyarrow as pa
+
+    batch = lane_batch([4])
+    at = batch.schema.get_field_index("y")
+    record = next(neural._pack([batch.set_column(at, "y", pa.array([1.0, None, 2.0, 4.0]))]))
+    assert [record.column(c)[0].as_py() for c in ("n", "y_n", "y_sum", "width")] == [4, 3, 7.0, 3]
